@@ -96,9 +96,9 @@ def _slot(*columns) -> F.Column:
 
 def bit_filter(slots: DataFrame) -> np.ndarray:
     """Which of FILTER_BITS slots occur, as packed bits: a table of fixed size (2 MB), gathered by Spark's bitmap aggregates."""
-    column = slots.columns[0]
-    rows = slots.groupBy(F.bitmap_bucket_number(F.col(column)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(column))).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8 + (1 << 12), np.uint8)
+    column = F.col(slots.columns[0]) + 1  # Spark's buckets begin with the value 1
+    rows = slots.groupBy(F.bitmap_bucket_number(column).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
         at = (r["bucket"] - 1) << 12
         out[at : at + (1 << 12)] = np.frombuffer(r["bits"], np.uint8)
@@ -106,10 +106,7 @@ def bit_filter(slots: DataFrame) -> np.ndarray:
 
 
 def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    # bucket 1 holds slots 1 to 32768, and so on; slot 0 is in bucket 1 too, with bit 0
-    position = np.where(slots > 0, slots - 1, 0) & 32767
-    bucket = np.where(slots > 0, (slots - 1) >> 15, 0)
-    return (bits[(bucket << 12) + (position >> 3)] >> (position & 7) & 1).astype(bool)
+    return (bits[slots >> 3] >> (slots & 7) & 1).astype(bool)
 
 
 def _sets(n: int):

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import lines, mix, shard
+from . import decontam, langid, lines, media, mix, neardup, repeats, shard
 
 QUERIES = {
     "op1_sharding": shard.op1_sharding,
     "op2_mixing": mix.op2_mixing,
+    "op4_media_columns": media.op4_media_columns,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_language_id": langid.op6_language_id,
+    "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op8_decontamination": decontam.op8_decontamination,
+    "op10_repeated_bytes": repeats.op10_repeated_bytes,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mix.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op7_minhash_near_dedup": neardup.OP7_SQL,
 }
