@@ -1,12 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's docs.
+
+A stage takes (spark, docs, sf_dir) and gives a DataFrame. All but the last give
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracelode.llm import decontam, langid, mix, neardup, shard
 from tracelode.llm.common import Scratch, table
 
-STAGES: list = []
+#: A text this long is rejected if it is like no learned language.
+LONG_TEXT, LEAST_SCORE = 400, 0.1
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go, and long ones whose best cosine is under ``LEAST_SCORE``; short texts say too little to go."""
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    scored = docs.withColumn("_p", langid.predict(F.col("text"), model))
+    poor = (F.length("text") >= LONG_TEXT) & (F.col("_p.score") < LEAST_SCORE)
+    return scored.where((F.col("_p.lang_pred") != langid.UNKNOWN) & ~poor).drop("_p")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: shingles of five words, similarity of 0.8 or more.
+
+    Of rows that share the least doc_id of a group, one stays.
+    """
+    kept = neardup.near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontam.clean(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mix.mix_documents(spark, docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in 8 shards, with shard and slot."""
+    return shard.shard_records(docs, 8)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("sharding", sharding),
+]
+#: The language and near-duplicate stages are not expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
