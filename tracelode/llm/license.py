@@ -125,7 +125,7 @@ UNFAMILIAR = [
 #: A line without any of these strings (in lower case) is no notice.
 ANCHORS = ("licens", "licenc", "copyright", "rights reserved", "permission", "redistribut", "public domain", "creative commons", "apache", "gnu", "gpl", "mozilla", "spdx", "endorse", "cc by", "cc-by", "cc0")
 NGRAMS = 3
-STEPS, RATE, RIDGE = 400, 2.0, 1e-4
+STEPS, RATE, RIDGE = 1500, 5.0, 1e-4
 CONFIRMED = 0.5
 _WORDS = r"[^a-z0-9]+"
 
@@ -184,11 +184,12 @@ def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float]:
 
 def _ngrams(words: Column) -> Column:
     """Distinct 1- to 3-grams of a word array, as the model makes them."""
-    parts = [words]
-    for n in range(2, NGRAMS + 1):
+
+    def runs(n: int) -> Column:
         steps = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(steps, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(F.concat(*parts))
+        return F.transform(steps, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, NGRAMS + 1)]))
 
 
 def _has_anchor(text: Column) -> Column:
@@ -231,10 +232,10 @@ def scan_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = scored.select("raw", ranked.alias("best"), other.alias("other")).withColumn("family", family).where("family is not null")
     covered = (
         grams.join(F.broadcast(table_of_templates), "gram").groupBy("raw", "of", "template")
-        .agg((F.count(F.lit(1)) / F.first("size")).alias("part")).groupBy("raw", "of").agg(F.max("part").alias("part"))
+        .agg((F.count(F.lit(1)) / F.first("size")).alias("part")).groupBy(F.col("raw").alias("of_raw"), "of").agg(F.max("part").alias("part"))
     )
-    judged = named.join(covered, (named["raw"] == covered["raw"]) & (F.col("family") == F.col("of")), "left").select(
-        named["raw"], "family", F.round("best.p", 6).alias("probability"), (F.coalesce("part", F.lit(0.0)) >= CONFIRMED).alias("confirmed")
+    judged = named.join(covered, (F.col("raw") == F.col("of_raw")) & (F.col("family") == F.col("of")), "left").select(
+        "raw", "family", F.round("best.p", 6).alias("probability"), (F.coalesce("part", F.lit(0.0)) >= CONFIRMED).alias("confirmed")
     )
     return lines.join(judged, "raw").select("doc_id", "line", "family", "probability", "confirmed")
 
