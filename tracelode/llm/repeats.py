@@ -19,7 +19,7 @@ below a row for every byte:
   p + 100, which is the doubling past the threshold. Of equal runs one member
   takes part.
 
-Hashes stand for strings: a run is compared by 128 bits, a position by 128.
+Hashes stand for strings: a run is compared by 128 bits, a position by 96.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .neardup import FILTER_BITS, bit_filter, in_filter
-from .tokens import Rolling
+from .tokens import Rolling, mix
 
 THRESHOLD = 200
 
@@ -91,8 +91,13 @@ def _ranks(threshold: int):
     return run
 
 
-def _slots(rank: np.ndarray) -> np.ndarray:
-    return (rank.view(np.uint64) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    """Places in the filter, from the low bits: the high bits of a picked rank are small, for it is a minimum."""
+    return hashes & (FILTER_BITS - 1)
+
+
+def _slot(column: str) -> Column:
+    return F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
 RUNS = "rank long, run long, text_id long, first int, last int"
@@ -132,9 +137,10 @@ def _positions(threshold: int):
                 size = last - first + 1
                 p = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
                 ids = np.full(len(p), _text_id(raw))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(windows[p]), pa.array(windows[p + half]), pa.array(ids), pa.array(p, pa.int32())], names=["rank", "next_rank", "text_id", "first"]
-                )
+                # the pair of ranks as 96 bits
+                pair = mix(windows[p].view(np.uint64) * np.uint64(3) + windows[p + half].view(np.uint64)).view(np.int64)
+                check = (windows[p + half] >> 32).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(check), pa.array(ids), pa.array(p, pa.int32())], names=["pair", "check", "text_id", "first"])
 
     return run
 
@@ -188,8 +194,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
     runs = texts.mapInArrow(_ranks(threshold), "rank long, run long").groupBy("rank", "run").agg(F.count(F.lit(1)).alias("n"))
     shared = runs.groupBy("rank").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1")
     shared = scratch.keep(shared.drop("n"))
-    slot = F.shiftrightunsigned("rank", 64 - FILTER_BITS.bit_length() + 1)
-    bits = spark.sparkContext.broadcast(bit_filter(shared.select(slot.alias("slot"))))
+    bits = spark.sparkContext.broadcast(bit_filter(shared.select(_slot("rank").alias("slot"))))
     found = scratch.keep(texts.mapInArrow(_shared_runs(bits, threshold), RUNS).join(shared, "rank"))
 
     # runs of one rank that are equal repeat as they are; one of each kind is held against the others where kinds differ
@@ -197,7 +202,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
     whole = found.join(kinds.where("n > 1").select("rank", "run"), ["rank", "run"]).select("text_id", "first", "last")
     open_ = kinds.where("kinds > 1").select("one.*", (F.col("n") == 1).alias("alone"))
     listed = scratch.keep(open_.groupBy("text_id").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
-    own = spark.sparkContext.broadcast(bit_filter(listed.select(F.shiftrightunsigned("text_id", 64 - FILTER_BITS.bit_length() + 1).alias("slot"))))
+    own = spark.sparkContext.broadcast(bit_filter(listed.select(_slot("text_id").alias("slot"))))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _with_id(batches):
@@ -206,9 +211,16 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
                 yield batch.filter(pa.array(keep))
 
     some = texts.mapInArrow(picked, "text string, text_id long").join(listed, "text_id").dropDuplicates(["text_id"])
-    places = scratch.keep(some.select("text", "runs").mapInArrow(_positions(threshold), "rank long, next_rank long, text_id long, first int"))
-    twice = places.groupBy("rank", "next_rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = places.join(twice, ["rank", "next_rank"]).select("text_id", "first", F.col("first").alias("last"))
+    places = scratch.keep(some.select("text", "runs").mapInArrow(_positions(threshold), "pair long, check int, text_id long, first int"))
+    twice = scratch.keep(places.groupBy("pair", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    both = spark.sparkContext.broadcast(bit_filter(twice.select(_slot("pair").alias("slot"))))
+
+    def shared_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(both.value, _slots(batch.column("pair").to_numpy()))))
+
+    likely = places.mapInArrow(shared_pairs, places.schema)
+    single = likely.join(twice, ["pair", "check"]).select("text_id", "first", F.col("first").alias("last"))
 
     spans = scratch.keep(whole.unionByName(single).groupBy("text_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
     scratch.drop(places, found, kinds)
