@@ -10,11 +10,13 @@
    each chunk the allowed errors are enumerated: a key for every symbol left
    out. Two nodes under the threshold thus share one of 64 keys for certain.
 4. In each group of a key every node is first held against two of its members,
-   which is linear in the group; links are confirmed on the full sets and
-   joined to components. Only in groups that still hold more than one component
-   are the signatures of nodes of different components compared, block by
-   block, and pairs under the threshold confirmed. No link between components
-   is lost, and a group of copies never becomes all its pairs.
+   which is linear in the group: the one whose keys are shared most, which is
+   the text that the others were made from, and one that the key picks by hash.
+   Links are confirmed on the full sets and joined to components. Only where the nodes around a hub are still more than
+   one component are they searched, block against block: pairs of different
+   components under the distance are confirmed on their sets inside the task,
+   and only links that tie components leave it. No link between components is
+   lost, and no group becomes rows for all its pairs.
 """
 
 from __future__ import annotations
@@ -122,9 +124,8 @@ def _sets(n: int):
     return run
 
 
-def _needed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, digests: DataFrame, n: int) -> DataFrame:
-    """(node, items) for the nodes of ``pairs``: from one document of each, which a fixed-size filter picks before anything is hashed."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _needed(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, items) for the wanted nodes: from one document of each, which a fixed-size filter picks before anything is hashed."""
     owners = nodes.join(wanted, "node").select("owner")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(owners.select(_slot("owner").alias("slot"))))
 
@@ -152,44 +153,76 @@ def _confirm(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int)
     return scratch.keep(found.select("a", "b"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each sorted group (key, i, j), the pairs between its blocks i and j that are under the distance and in different components."""
-    names = ("key", "i", "j")
-    held: list[pa.RecordBatch] = []
-    group = None
+def _blocks(percent: int):
+    """Links between components in each sorted group (hub, i, j), between nodes of its blocks i and j.
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
+    Pairs under the signature distance and near enough in size are confirmed
+    here on their full sets, so that no pair leaves the task. A link is given
+    back only if it ties components that no earlier link of the group tied.
+    """
+
+    def group_links(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j, block, node, root = (t.column(c).to_numpy() for c in ("i", "j", "block", "node", "root"))
         symbols = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for a in range(0, len(left), 64):
-            rows = left[a : a + 64]
-            far = np.zeros((len(rows), len(right)), np.int16)
-            for k in range(SYMBOLS):
-                far += symbols[rows, k][:, None] != symbols[right, k][None, :]
-            x, y = np.nonzero((far <= DISTANCE) & (root[rows][:, None] != root[right][None, :]) & ((i[0] != j[0]) | (node[rows][:, None] < node[right][None, :])))
-            if len(x):
-                u, v = node[rows[x]], node[right[y]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+        lists = t.column("items").combine_chunks()
+        starts, size = lists.offsets.to_numpy().astype(np.int64)[:-1], np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        ids = np.unique(lists.values.to_numpy(), return_inverse=True)[1]
+        starts -= starts[0]
+        flag = np.zeros(int(ids.max()) + 1, bool)
+        tied: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while (up := tied.get(r, r)) != r:
+                r = up
+            return r
+
+        out: tuple[list, list] = ([], [])
+        right = np.flatnonzero(block == j)
+        for x in np.flatnonzero(block == i).tolist():
+            few, many = np.minimum(size[x], size[right]), np.maximum(size[x], size[right])
+            other = right[(few * 100 >= many * percent) & (root[right] != root[x]) & ((i[0] != j[0]) | (node[right] > node[x]))]
+            if len(other):
+                other = other[(symbols[other] != symbols[x]).sum(axis=1) <= DISTANCE]
+            other = np.array([y for y in other.tolist() if find(int(root[y])) != find(int(root[x]))], np.int64)
+            if not len(other):
+                continue
+            own = ids[starts[x] : starts[x] + size[x]]
+            flag[own] = True
+            cuts = np.cumsum(size[other]) - size[other]
+            at = np.repeat(starts[other] - cuts, size[other]) + np.arange(size[other].sum())
+            both = np.add.reduceat(flag[ids[at]].astype(np.int64), cuts)
+            flag[own] = False
+            for y in other[both * 100 >= (size[x] + size[other] - both) * percent].tolist():
+                p, q = find(int(root[x])), find(int(root[y]))
+                if p != q:
+                    tied[p] = q
+                    out[0].append(min(node[x], node[y]))
+                    out[1].append(max(node[x], node[y]))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in cols:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            this = tuple(int(c[a]) for c in cols)
-            if this != group:
-                yield from flush()
-                group, held = this, []
-            held.append(batch.slice(a, b - a))
-    yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        group = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "i", "j")]
+            change = np.zeros(batch.num_rows - 1, bool)
+            for c in cols:
+                change |= c[1:] != c[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                this = tuple(int(c[a]) for c in cols)
+                if this != group:
+                    if held:
+                        yield from group_links(pa.Table.from_batches(held))
+                    group, held = this, []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from group_links(pa.Table.from_batches(held))
+
+    return run
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -211,31 +244,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     owner = F.coalesce("doc_id", F.lit(NULL_ID))
     nodes = scratch.keep(digests.where("node is not null").groupBy("node").agg(F.min(owner).alias("owner"), F.first("signature").alias("signature")))
     keys = scratch.keep(nodes.select("node", "signature").mapInArrow(_keys, "key long, node long"))
-    groups = scratch.keep(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high"))
+    groups = scratch.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = scratch.keep(keys.join(groups, "key"))
     scratch.drop(keys, groups)
-    to_low = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    to_high = members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))
-    pairs = scratch.keep(to_low.unionByName(to_high).distinct())
-    links = _confirm(scratch, pairs, scratch.keep(_needed(plain, nodes, pairs, digests, words)), percent)
+    # the text that others were copied from shares its keys with more nodes than its copies do
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "node")
+    hubs = weighed.groupBy("key").agg(
+        F.max(F.struct("weight", "node"))["node"].alias("hub"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"].alias("other")
+    )
+    with_hubs = members.join(hubs, "key")
+    spokes = with_hubs.select("node", F.col("hub").alias("to")).unionByName(with_hubs.select("node", F.col("other").alias("to"))).where("node <> to")
+    around = scratch.keep(with_hubs.select("hub", "node").distinct())
+    pairs = scratch.keep(spokes.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct())
+    paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    links = _confirm(scratch, pairs, scratch.keep(_needed(plain, nodes, paired, words)), percent)
     roots = components(scratch, links)
 
-    # groups that are not one component yet
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    cut = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine, other = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"), F.col("other")
-    compared = (
-        labelled.join(mixed, "key").join(nodes.select("node", "signature"), "node")
-        .withColumn("cut", cut).withColumn("block", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        .select("key", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), "block", "node", "root", "signature")
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = compared.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks, "a long, b long")
-    more = scratch.keep(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        extra = _confirm(scratch, more, scratch.keep(_needed(plain, nodes, more, digests, words)), percent)
+    # all pairs that share a key share its hub; hubs whose nodes are not one component yet are searched block by block
+    labelled = around.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("hub").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2").select("hub", "n")
+    open_ = scratch.keep(labelled.join(mixed, "hub"))
+    if not open_.isEmpty():
+        sets = scratch.keep(_needed(plain, nodes, open_.select("node").distinct(), words))
+        cut, other = F.ceil(F.col("n") / BLOCK).cast("int"), F.col("other")
+        compared = (
+            open_.withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+            .join(nodes.select("node", "signature"), "node").join(sets, "node")
+            .select("hub", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), "block", "node", "root", "signature", "items")
+        )
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        extra = compared.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
         ties = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = components(scratch, ties.unionByName(extra))
 
