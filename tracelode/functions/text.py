@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode white space, spelled out because Java's classes differ from it.
 WHITE = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x20\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -15,7 +16,7 @@ LATIN = "[a-z0-9]+(?:[._/+\\-][a-z0-9]+)*"
 CJK = "[\\u4e00-\\u9fff]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 

@@ -89,10 +89,12 @@ def _block(thresholds: Sequence[float]) -> list:
 
 
 def metric_rollup(results: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """The metric block over all events and for each mode; the row for all has mode null."""
+    """The metric block over all events and for each mode; the row for all has mode null, and is there without events too."""
     if any(not 0 < t <= 1 for t in thresholds):
         raise ValueError("thresholds must be in (0, 1]")
-    return results.groupingSets([[], [F.col("mode")]], F.col("mode")).agg(*_block(thresholds))
+    block = _block(thresholds)
+    overall = results.agg(*block)  # grouping sets would give no row at all for no events
+    return overall.select(F.lit(None).cast("string").alias("mode"), "*").unionByName(results.groupBy("mode").agg(*block))
 
 
 def radius_grid(results: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:

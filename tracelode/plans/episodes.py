@@ -206,8 +206,8 @@ bo AS (SELECT event_id, mode, radius_frames, center_frame AS best_center_frame,
   FROM iu QUALIFY row_number() OVER (PARTITION BY event_id, radius_frames ORDER BY iou DESC, abs(center_frame - (g0 + g1) / 2.0::DOUBLE), center_frame, p0, p1) = 1)"""
 BLOCK = """count(*) AS n_events, round(avg(overlap_hit::INT), 6) AS recall, round(avg(best_iou), 6) AS mean_iou, round(median(best_iou), 6) AS median_iou, round(avg((best_iou >= 0.1)::INT), 6) AS recall_at_0_10,
   round(avg((best_iou >= 0.25)::INT), 6) AS recall_at_0_25, round(avg((best_iou >= 0.5)::INT), 6) AS recall_at_0_50, round(avg(onset_error), 6) AS mean_onset_error, round(avg(offset_error), 6) AS mean_offset_error"""
-KEYS = """kf AS (SELECT k, rank AS keyframe_rank, episode_id, slice_index, arg_min(frame_index, (abs(timestamp_sec - (slice_index + rank / (k + 1)::DOUBLE) * 86400.0::DOUBLE), frame_index)) AS f
-  FROM sl, (SELECT k, unnest(range(1, k + 1)) AS rank FROM (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL)"""
+KEYS = """kf AS (SELECT kk.k, kk.rank AS keyframe_rank, episode_id, slice_index, arg_min(frame_index, (abs(timestamp_sec - (slice_index + kk.rank / (kk.k + 1)::DOUBLE) * 86400.0::DOUBLE), frame_index)) AS f
+  FROM sl, (SELECT k, unnest(range(1, k + 1)) AS rank FROM (SELECT unnest([1, 2, 3]) AS k)) kk GROUP BY ALL)"""
 WIDE = "w AS (SELECT episode_id, frame_index, 'front' AS camera, 'front/' || frame_index || '.jpg' AS image_relpath, value AS source_age_ms FROM s UNION ALL SELECT episode_id, frame_index, 'wrist', 'wrist/' || frame_index || '.jpg', k FROM s)"
 
 QUERIES = {f.__name__: f for f in (signal_change_scores, signal_query_topk, tumbling_slices_midpoint, midpoint_error_summary, argmax_per_slice, multi_keyframe_k123, density_marginals, strided_motion, dominant_channel, event_coverage_range_join, nearest_sample_join, coverage_summary, method_comparison, uniform_anchors, nms_peaks, review_candidates, point_interval_distance, interval_proposals, best_iou_per_event, interval_metrics_rollup, radius_grid_search, contiguity_check, frame_unpivot, frame_pair_pivot, episode_digest, label_bounds_check)}

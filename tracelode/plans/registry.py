@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "bm25_search"
+from . import curation, episodes, retrieval
+
+QUERIES = retrieval.QUERIES | episodes.QUERIES | curation.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | episodes.ORACLE_SQL | curation.ORACLE_SQL
+FLAGSHIP = "bm25_topk"
