@@ -6,8 +6,8 @@ copies are taken outright. For the rest each document has an inclusion
 probability p (the fractional part) and a random number u; documents are ranked
 by the Pareto variable, random odds over inclusion odds, (u / (1-u)) / (p / (1-p)),
 and the front of that order is taken until the words that are left to take are
-reached. The last places go to the documents whose size comes nearest to what
-is still missing, if they bring the source nearer to its target.
+reached. The last places go to documents that fit into what is still missing:
+the next few of each size class in the order, larger ones first.
 
 The order is never sorted as a whole. The front ends where the Pareto variable
 is about 1, so documents are counted in buckets of q / (1+q); buckets before
@@ -28,8 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BUCKETS = 4096
-#: After the front of the order, this many documents at most may fill what is still missing.
-LAST_PLACES = 3
+#: What is still missing after the front of the order is filled from this many documents of each size class (by powers of two).
+LAST_PLACES = 16
 SEED = "mix-1"
 
 
@@ -113,21 +113,35 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
         "chosen", F.col("q").isNotNull() & (F.col("end").isNull() | (F.col("bucket") < F.col("end")))
     )
     chosen = scratch.keep(inside.unionByName(outside).drop("before", "end", "bucket"))
-    for _ in range(LAST_PLACES):
-        gaps = chosen.groupBy("source").agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap")).withColumnRenamed("source", "s")
-        distance = F.abs(F.col("size") - F.col("gap"))
-        last = (
-            chosen.where("q is not null and not chosen and size > 0")
-            .join(gaps, F.col("source").eqNullSafe(F.col("s"))).where(distance < F.col("gap"))
-            .groupBy("s").agg(F.min(F.struct(distance.alias("d"), F.col("q"), F.col("key"), F.col("copy"))).alias("last"))
-        )
-        is_last = F.col("last").isNotNull() & F.struct("q", "key", "copy").eqNullSafe(F.struct("last.q", "last.key", "last.copy"))
-        chosen = chosen.join(last, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("chosen", F.col("chosen") | is_last).drop("s", "last")
+    gaps = chosen.groupBy("source").agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
+    spare = chosen.where("q is not null and not chosen and size > 0").select("source", "size", "q", "key", "copy", F.floor(F.log2("size")).alias("kind"))
+    few = spare.withColumn("n", F.row_number().over(Window.partitionBy("source", "kind").orderBy("q", F.col("key").asc_nulls_first(), "copy"))).where(F.col("n") <= LAST_PLACES)
+    listed = few.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "q", "key", "copy"))).alias("xs"))
+    filled = listed.join(gaps, listed["source"].eqNullSafe(gaps["source"])).select(listed["source"].alias("s"), _fill(F.col("xs"), F.col("gap")).alias("last"))
+    last = filled.select("s", F.explode("last").alias("x")).select("s", F.col("x.q").alias("xq"), F.col("x.key").alias("xkey"), F.col("x.copy").alias("xcopy"))
+    found = F.col("source").eqNullSafe(F.col("s")) & (F.col("q") == F.col("xq")) & F.col("key").eqNullSafe(F.col("xkey")) & (F.col("copy") == F.col("xcopy"))
+    chosen = chosen.join(last, found, "left").withColumn("chosen", F.col("chosen") | F.col("xcopy").isNotNull())
     return chosen.select(
         *[F.col(f"`{c}`") for c in names], "copy", "source_size", "target", (F.col("sure") + F.col("chosen").cast("int")).alias("copies")
     )
 
 
+def _fill(xs: Column, gap: Column) -> Column:
+    """Of spare items in falling order of size, those that still fit, one after the other; and one more that overshoots if that ends nearer."""
+    start = F.struct(gap.cast("double").alias("gap"), F.filter(xs, lambda x: F.lit(False)).alias("got"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = -x["neg"] <= a["gap"]
+        return F.when(fits, F.struct((a["gap"] + x["neg"]).alias("gap"), F.concat(a["got"], F.array(x)).alias("got"))).otherwise(a)
+
+    def end(a: Column) -> Column:
+        over = F.filter(xs, lambda x: (-x["neg"] > a["gap"]) & (-x["neg"] - a["gap"] < a["gap"]) & ~F.array_contains(a["got"], x))
+        best = F.array_max(over)  # the smallest that overshoots; of equal sizes the last in order
+        return F.when(best.isNotNull(), F.concat(a["got"], F.array(best))).otherwise(a["got"])
+
+    return F.aggregate(xs, start, step, end)
+
+
 def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``.
 
@@ -162,17 +176,6 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _last_sql(k: int) -> str:
-    """One of the last places: the document nearest to the gap, and the gap after it."""
-    return f"""last{k} AS (
-  SELECT source AS s, arg_min(doc_id, (abs(size - gap), q, doc_id)) AS last_id FROM gap{k}
-  WHERE q IS NOT NULL AND NOT chosen AND size > 0 AND abs(size - gap) < gap GROUP BY source),
-gap{k + 1} AS (
-  SELECT * EXCLUDE (s, last_id, chosen, gap, now), chosen OR now AS chosen, rest - sum(CASE WHEN chosen OR now THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
-  FROM (SELECT g.* EXCLUDE (now), l.*, coalesce(doc_id = last_id, false) AS now FROM (SELECT *, false AS now FROM gap{k}) g
-        LEFT JOIN last{k} l ON source IS NOT DISTINCT FROM s))"""
-
-
 OP2_SQL = f"""
 WITH items AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
@@ -197,7 +200,12 @@ ordered AS (
     CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked),
 front AS (
   SELECT *, coalesce(q IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id) <= rest, false) AS chosen FROM ordered),
-gap1 AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM front),
-{_last_sql(1)}, {_last_sql(2)}, {_last_sql(3)}
-SELECT doc_id, size, source_size, target, ((sure + CASE WHEN chosen THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM gap4
+gaps AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM front),
+few AS (SELECT source, gap, size, q, doc_id FROM gaps WHERE q IS NOT NULL AND NOT chosen AND size > 0
+  QUALIFY row_number() OVER (PARTITION BY source, floor(log2(size)) ORDER BY q, doc_id) <= {LAST_PLACES}),
+listed AS (SELECT source, max(gap) AS gap, list({{'size': size, 'id': doc_id}} ORDER BY size DESC, q, doc_id) AS xs FROM few GROUP BY source),
+fits AS (SELECT source, xs, list_reduce(xs, lambda a, x: CASE WHEN x.size <= a.gap THEN {{'gap': a.gap - x.size, 'got': list_append(a.got, x.id)}} ELSE a END, {{'gap': gap, 'got': []::BIGINT[]}}) AS a FROM listed),
+lasts AS (SELECT source AS s, list_concat(a.got, list_transform(list_filter(xs, lambda x: x.size > a.gap AND x.size - a.gap < a.gap AND NOT list_contains(a.got, x.id))[-1:], lambda x: x.id)) AS ids FROM fits)
+SELECT doc_id, size, source_size, target, ((sure + CASE WHEN chosen OR coalesce(list_contains(ids, doc_id), false) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM gaps LEFT JOIN lasts ON source IS NOT DISTINCT FROM s
 """
