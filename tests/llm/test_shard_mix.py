@@ -105,7 +105,7 @@ def test_mix_edges(spark):
     for x in got:
         t = by.setdefault(x.source, [x.target, 0])
         t[1] += x.copies * x.size
-    assert all(abs(t - taken) <= max(3, 0.01 * t) for t, taken in by.values())
+    assert all(abs(t - taken) <= 200 for t, taken in by.values())  # half of the smallest size that is left
     again = mix.take(spark, df.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mix.take(spark, df.where("false")).count() == 0

@@ -31,6 +31,8 @@ BUCKETS = 4096
 #: What is still missing after the front of the order is filled from this many documents of each size class (by powers of two).
 LAST_PLACES = 16
 SEED = "mix-1"
+#: Tables with a row for each source are broadcast up to this many rows; beyond, Spark shuffles both sides.
+SMALL_ROWS = 50_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -61,6 +63,11 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     )
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if ``rows``, the table's counted size, is within the bound, so that the many rows of one source are not shuffled to it."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def random_unit(*parts: Column) -> Column:
     """A number in (0, 1) from the first 52 bits of md5 of the parts joined by a bar; a null part is empty."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
@@ -89,9 +96,10 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
         .withColumn("p", wanted - F.floor(wanted))
         .withColumn("left", F.col("target") - F.col("sure") * F.col("source_size"))
     )
+    n_sources = goals.count()
     u = random_unit(F.lit(seed), F.col("key"), F.col("copy"))
     ranked = (
-        rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+        rows.join(_small(goals, n_sources), rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
         .withColumn("q", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
         .withColumn("bucket", F.floor(F.lit(float(BUCKETS)) * F.col("q") / (1 + F.col("q"))))
     )
@@ -105,7 +113,7 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
         .select(F.col("source").alias("s"), F.col("bucket").alias("end"), "before")
     )
     # no bucket ends the front where all that is left fits: then every bucket is before the end
-    placed = ranked.join(ends, ranked["source"].eqNullSafe(ends["s"]), "left").drop("s")
+    placed = ranked.join(_small(ends, n_sources), ranked["source"].eqNullSafe(ends["s"]), "left").drop("s")
     inside = placed.where("bucket = end")
     in_bucket = Window.partitionBy("source", "bucket").orderBy("q", F.col("key").asc_nulls_first(), *[F.col(f"`{c}`") for c in names if c not in ("key", "source")], "copy")
     inside = inside.withColumn("chosen", (F.col("before") + F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))) <= F.col("left"))
@@ -120,7 +128,7 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
     filled = listed.join(gaps, listed["source"].eqNullSafe(gaps["source"])).select(listed["source"].alias("s"), _fill(F.col("xs"), F.col("gap")).alias("last"))
     last = filled.select("s", F.explode("last").alias("x")).select("s", F.col("x.q").alias("xq"), F.col("x.key").alias("xkey"), F.col("x.copy").alias("xcopy"))
     found = F.col("source").eqNullSafe(F.col("s")) & (F.col("q") == F.col("xq")) & F.col("key").eqNullSafe(F.col("xkey")) & (F.col("copy") == F.col("xcopy"))
-    chosen = chosen.join(last, found, "left").withColumn("chosen", F.col("chosen") | F.col("xcopy").isNotNull())
+    chosen = chosen.join(_small(last, n_sources * LAST_PLACES * 64), found, "left").withColumn("chosen", F.col("chosen") | F.col("xcopy").isNotNull())
     return chosen.select(
         *[F.col(f"`{c}`") for c in names], "copy", "source_size", "target", (F.col("sure") + F.col("chosen").cast("int")).alias("copies")
     )
