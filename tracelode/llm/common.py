@@ -62,6 +62,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         out = self.path()
         df.write.option("compression", "zstd").parquet(out)
+        self.spark._jvm.System.gc()  # Spark frees the shuffle files of plans that the driver has let go
         kept = self.spark.read.schema(df.schema).parquet(out)
         kept.scratch_path = out
         return kept

@@ -210,8 +210,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    some = texts.mapInArrow(picked, "text string, text_id long").join(listed, "text_id").dropDuplicates(["text_id"])
-    places = scratch.keep(some.select("text", "runs").mapInArrow(_positions(threshold), "pair long, check int, text_id long, first int"))
+    open_texts = texts.mapInArrow(picked, "text string, text_id long").join(listed, "text_id").dropDuplicates(["text_id"])
+    places = scratch.keep(open_texts.select("text", "runs").mapInArrow(_positions(threshold), "pair long, check int, text_id long, first int"))
     twice = scratch.keep(places.groupBy("pair", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     both = spark.sparkContext.broadcast(bit_filter(twice.select(_slot("pair").alias("slot"))))
 
@@ -224,9 +224,22 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
 
     spans = scratch.keep(whole.unionByName(single).groupBy("text_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
     scratch.drop(places, found, kinds)
-    marked = docs.select("doc_id", "text").mapInArrow(_with_id, "doc_id long, text string, text_id long")
-    joined = marked.join(spans, "text_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut(threshold), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
+    # texts are shuffled only where a span may belong to them
+    some = spark.sparkContext.broadcast(bit_filter(spans.select(_slot("text_id").alias("slot"))))
+
+    def split(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _with_id(batches):
+                keep = in_filter(some.value, _slots(batch.column("text_id").to_numpy())) == wanted
+                if keep.any():
+                    yield batch.filter(pa.array(keep))
+
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, text_id long")
+
+    touched = split(True).join(spans, "text_id", "left").select("doc_id", "text", "spans")
+    whole_texts = split(False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>"
+    return touched.mapInArrow(_cut(threshold), out).unionByName(whole_texts.mapInArrow(_cut(threshold), out))
 
 
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
