@@ -6,7 +6,7 @@ query order, so equal scores are equal to the bit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from ..functions.text import tokenize_mixed
 
 K1, B = 1.5, 0.75
 PAGE = ["source_id", "page_number"]
+#: Queries that are broadcast at once; more are taken in blocks, one pass over the corpus for each.
+QUERY_BLOCK = 10_000
 
 
 def check_top_k(top_k: int) -> int:
@@ -128,18 +130,34 @@ def tie_summary(hits: DataFrame, near: float = 1e-12) -> DataFrame:
 # --- vectors ---
 
 
+def against_all(rows: DataFrame, queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int = QUERY_BLOCK) -> DataFrame:
+    """Stated queries against all rows: ``search`` ranks the pairs of all rows with one block of queries.
+
+    The queries are counted; up to ``block`` of them are broadcast as they are,
+    more are dealt into blocks by a hash of item_id.
+    """
+    n = -(-queries.count() // block)
+    if n <= 1:
+        return search(rows.crossJoin(F.broadcast(queries)))
+    out = None
+    for k in range(2 * n):  # at half load, so that an uneven deal stays in the bound
+        part = search(rows.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("item_id"), F.lit(2 * n)) == k))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """Exact cosine search: (item_id, vec_id, score, rank) by (-score, vec_id), scores rounded to 6 places.
 
-    A stated set of queries is held against all vectors in one pass: the queries
-    are broadcast as unit vectors, in blocks the caller bounds, and each
-    partition keeps its own top_k of a query before the shuffle.
+    A stated set of queries is held against all vectors: the queries are broadcast
+    as unit vectors in blocks of bounded size, and each partition keeps its own
+    top_k of a query before the shuffle.
     """
     check_top_k(top_k)
     q = queries.select("item_id", N.unit_vector(F.col("embedding")).alias("qv")).where("qv is not null")
     d = vectors.select("vec_id", N.unit_vector(F.col("embedding")).alias("dv")).where("dv is not null")
-    scores = d.crossJoin(F.broadcast(q)).select("item_id", "vec_id", F.round(N.dot(F.col("qv"), F.col("dv")), 6).alias("score"))
-    return ranked(scores, ["item_id"], [F.desc("score"), F.col("vec_id")], top_k)
+    score = F.round(N.dot(F.col("qv"), F.col("dv")), 6).alias("score")
+    return against_all(d, q, lambda x: ranked(x.select("item_id", "vec_id", score), ["item_id"], [F.desc("score"), F.col("vec_id")], top_k))
 
 
 def maxsim_search(documents: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
@@ -147,8 +165,8 @@ def maxsim_search(documents: DataFrame, queries: DataFrame, top_k: int = 5) -> D
     check_top_k(top_k)
     d = documents.select(F.col("doc_id"), F.col("vectors").alias("dv"))
     q = queries.select("item_id", F.col("vectors").alias("qv"))
-    scores = d.crossJoin(F.broadcast(q)).select("item_id", "doc_id", F.round(N.max_sim(F.col("qv"), F.col("dv")), 6).alias("score"))
-    return ranked(scores, ["item_id"], [F.desc("score"), F.col("doc_id")], top_k)
+    score = F.round(N.max_sim(F.col("qv"), F.col("dv")), 6).alias("score")
+    return against_all(d, q, lambda x: ranked(x.select("item_id", "doc_id", score), ["item_id"], [F.desc("score"), F.col("doc_id")], top_k))
 
 
 def rerank(pool: DataFrame, score: Column, top_k: int = 5) -> DataFrame:

@@ -24,8 +24,10 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """Pages that hold a query's whole text: the stated queries against all pages, in one pass."""
-    q = F.broadcast(queries(spark, d).select("item_id", F.col("text").alias("q")))
-    return pages(spark, d).join(q, F.contains(F.col("text"), F.col("q"))).select("item_id", "source_id", "page_number")
+    from ..operators.ranking import against_all
+
+    q = queries(spark, d).select("item_id", F.col("text").alias("q"))
+    return against_all(pages(spark, d), q, lambda x: x.where(F.contains(F.col("text"), F.col("q"))).select("item_id", "source_id", "page_number"))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -94,13 +96,13 @@ GOLD = "gold AS (SELECT item_id, source_id, page_number FROM pg JOIN benchmark b
 def lexical_hits(spark: SparkSession, d: str) -> DataFrame:
     """A second ranked list for fusion: the share of a query's tokens that a page has."""
     from ..functions.text import tokenize_mixed
-    from ..operators.ranking import ranked
+    from ..operators.ranking import against_all, ranked
 
     q = queries(spark, d).select("item_id", F.array_distinct(tokenize_mixed(F.col("text"))).alias("qd"))
     p = pages(spark, d).select("source_id", "page_number", tokenize_mixed(F.col("text")).alias("tokens"))
     score = F.size(F.array_intersect("qd", "tokens")) / F.size("qd")
-    rows = p.crossJoin(F.broadcast(q)).select("item_id", "source_id", "page_number", score.alias("score"))
-    return ranked(rows, ["item_id"], [F.desc("score"), F.col("source_id"), F.col("page_number")], 5)
+    order = [F.desc("score"), F.col("source_id"), F.col("page_number")]
+    return against_all(p, q, lambda x: ranked(x.select("item_id", "source_id", "page_number", score.alias("score")), ["item_id"], order, 5))
 
 
 def peaks_of(s: DataFrame) -> DataFrame:
