@@ -117,3 +117,16 @@ def test_mixed_documents(spark):
     assert out.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert max(counts.values()) <= 2
+
+
+def test_mixed_documents_with_clashing_columns(spark):
+    names = ["doc_id", "text", "source", "key", "key_", "_key", "own_key", "mix_source", "times", "copy"]
+    rows = [(k, f"word {k} " * (1 + k % 9), f"s{k % 3}", *[f"{c}{k}" for c in names[3:]]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:]))
+    plain = mix.mix_documents(spark, docs.select("doc_id", "text", "source"))
+    out = mix.mix_documents(spark, docs)
+    assert out.columns == names
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in plain.collect())
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names[3:])
+    assert mix.mix_documents(spark, docs.where("false")).count() == 0

@@ -156,7 +156,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     Documents are told apart by (doc_id, source, text); a row that repeats is
     taken as often as its copies are together. Other columns may hold anything.
     """
-    key, size, source, times = fresh(docs, "key", "size", "mix_source", "times")
+    key, own, size, source, times = fresh(docs, "key", "own_key", "size", "mix_source", "times")
     digest = docs.select(
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")).alias("key"),
         F.col("source"), word_count(F.col("text")).alias("size"),
@@ -164,10 +164,10 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     taken = take(spark, digest, **options).groupBy("key", "source").agg(F.sum("copies").alias(times)).select(
         F.col("key").alias(key), F.col("source").alias(source), times
     )
-    marked = docs.withColumn(key + "_", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
-    once = marked.dropDuplicates([key + "_", "source"])
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+    once = marked.dropDuplicates([own, "source"])
     return (
-        once.join(taken, (F.col(key + "_") == F.col(key)) & F.col("source").eqNullSafe(F.col(source)))
+        once.join(taken, (F.col(own) == F.col(key)) & F.col("source").eqNullSafe(F.col(source)))
         .where(F.col(times) > 0)
         .withColumn(size, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
