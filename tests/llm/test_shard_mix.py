@@ -130,3 +130,17 @@ def test_mixed_documents_with_clashing_columns(spark):
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in plain.collect())
     assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names[3:])
     assert mix.mix_documents(spark, docs.where("false")).count() == 0
+
+
+def test_mix_with_one_document_that_holds_much_of_its_source(spark):
+    r = random.Random(6)
+    for seed in ("a", "b"):
+        # p is about 0.5: the front of a source stops at a long document
+        rows = [(k, "s" if k % 2 else None, r.randrange(300, 500)) for k in range(4000)] + [(5000 + k, "s" if k % 2 else None, 400_000) for k in range(6)]
+        got = mix.take(spark, spark.createDataFrame(rows, "key long, source string, size long"), weights=(1,), share=0.5, seed=seed).collect()
+        assert len(got) == len(rows)
+        for s in ("s", None):
+            own = [x for x in got if x.source == s]
+            miss = own[0].target - sum(x.copies * x.size for x in own)
+            left = [x.size for x in own if x.copies == 0]
+            assert miss < min(left) and abs(miss) <= min(left) / 2 + 1, (seed, s, miss)

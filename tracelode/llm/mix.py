@@ -7,7 +7,9 @@ probability p (the fractional part) and a random number u; documents are ranked
 by the Pareto variable, random odds over inclusion odds, (u / (1-u)) / (p / (1-p)),
 and the front of that order is taken until the words that are left to take are
 reached. The last places go to documents that fit into what is still missing:
-the next few of each size class in the order, larger ones first.
+the next few of each size class in the order, larger ones first. While others
+still fit, the order goes on over all of them, so that what is missing in the
+end is less than any document that is left.
 
 The order is never sorted as a whole. The front ends where the Pareto variable
 is about 1, so documents are counted in buckets of q / (1+q); buckets before
@@ -28,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BUCKETS = 4096
-#: What is still missing after the front of the order is filled from this many documents of each size class (by powers of two).
+#: What is still missing after the front of the order is first filled from this many documents of each size class (by powers of two).
 LAST_PLACES = 16
 SEED = "mix-1"
 #: Tables with a row for each source are broadcast up to this many rows; beyond, Spark shuffles both sides.
@@ -105,49 +107,90 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
     )
     ranked = scratch.keep(ranked)
     scratch.drop(rows)
+    placed = _front(ranked, names, n_sources)
+    chosen = scratch.keep(placed.withColumn("row", F.monotonically_increasing_id()))  # written once, so that it names a row for good
+    gaps = scratch.keep(
+        chosen.groupBy("source").agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).cast("double").alias("left"))
+    )
+    in_class = Window.partitionBy("source", "kind").orderBy("q", F.col("key").asc_nulls_first(), "copy")
+    spare = (
+        chosen.where("q is not null and not chosen and size > 0").select("source", "size", "q", "bucket", "key", "copy", "row", F.floor(F.log2("size")).alias("kind"))
+        .withColumn("n", F.row_number().over(in_class))
+    )
+    spare = scratch.keep(spare)
+    taken: list[DataFrame] = []
+    # the first of each class, larger ones first; while others still fit, the order goes on over those and is filled up again
+    while True:
+        few = spare.withColumn("m", F.row_number().over(in_class)).where(F.col("m") <= LAST_PLACES)
+        listed = few.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "q", "key", "copy", "row"))).alias("xs"))
+        filled = listed.join(gaps, listed["source"].eqNullSafe(gaps["source"])).select(F.explode(_fill(F.col("xs"), F.col("left"))["got"]["row"]).alias("row"))
+        spare, gaps = _without(scratch, spare, gaps, got := scratch.keep(filled), n_sources)
+        taken.append(got)
+        room = _with_left(spare, gaps, n_sources).where(F.col("size") <= F.col("left"))
+        if room.isEmpty():
+            break
+        # at most half of what is left: each pass then halves it or takes them all; if all are larger, one more fits, the first in order
+        halves = room.groupBy("source").agg((F.min("size") <= F.first("left") / 2).alias("small"))
+        room = room.join(_small(halves, n_sources), room["source"].eqNullSafe(halves["source"])).drop(halves["source"])
+        room = scratch.keep(room.where(~F.col("small") | (F.col("size") <= F.col("left") / 2)))
+        got = scratch.keep(_front(room, ["key", "source", "row"], n_sources).where("chosen").select("row"))
+        spare, gaps = _without(scratch, spare, gaps, got, n_sources)
+        taken.append(got)
+    # nothing fits now: one more that overshoots if that ends nearer, the smallest; of equal sizes the last of those that were listed first
+    over = _with_left(spare, gaps, n_sources).where((F.col("size") > F.col("left")) & (F.col("size") - F.col("left") < F.col("left")))
+    rank = F.struct(-F.col("size"), F.col("n") <= LAST_PLACES, "q", "key", "copy", "row")
+    taken.append(over.groupBy("source").agg(F.max(rank)["row"].alias("row")).select("row"))
+    last = taken[0]
+    for more in taken[1:]:
+        last = last.unionByName(more)
+    last = scratch.keep(last.select(F.col("row").alias("taken")))
+    chosen = chosen.join(_small(last, last.count()), F.col("row") == F.col("taken"), "left").withColumn("chosen", F.col("chosen") | F.col("taken").isNotNull())
+    return chosen.select(
+        *[F.col(f"`{c}`") for c in names], "copy", "source_size", "target", (F.col("sure") + F.col("chosen").cast("int")).alias("copies")
+    )
+
+
+def _front(rows: DataFrame, names: list[str], n_sources: int) -> DataFrame:
+    """``rows`` (source, size, q, bucket, left, ...) with ``chosen``: the items of each source in the order of q up to the first that does not fit ``left``."""
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
-        ranked.where("q is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        rows.where("q is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
         .withColumn("before", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)))
         .where("before <= left and before + words > left")
         .select(F.col("source").alias("s"), F.col("bucket").alias("end"), "before")
     )
     # no bucket ends the front where all that is left fits: then every bucket is before the end
-    placed = ranked.join(_small(ends, n_sources), ranked["source"].eqNullSafe(ends["s"]), "left").drop("s")
+    placed = rows.join(_small(ends, n_sources), rows["source"].eqNullSafe(ends["s"]), "left").drop("s")
     inside = placed.where("bucket = end")
     in_bucket = Window.partitionBy("source", "bucket").orderBy("q", F.col("key").asc_nulls_first(), *[F.col(f"`{c}`") for c in names if c not in ("key", "source")], "copy")
     inside = inside.withColumn("chosen", (F.col("before") + F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))) <= F.col("left"))
     outside = placed.where("q is null or end is null or bucket <> end").withColumn(
         "chosen", F.col("q").isNotNull() & (F.col("end").isNull() | (F.col("bucket") < F.col("end")))
     )
-    chosen = scratch.keep(inside.unionByName(outside).drop("before", "end", "bucket"))
-    gaps = chosen.groupBy("source").agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    spare = chosen.where("q is not null and not chosen and size > 0").select("source", "size", "q", "key", "copy", F.floor(F.log2("size")).alias("kind"))
-    few = spare.withColumn("n", F.row_number().over(Window.partitionBy("source", "kind").orderBy("q", F.col("key").asc_nulls_first(), "copy"))).where(F.col("n") <= LAST_PLACES)
-    listed = few.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "q", "key", "copy"))).alias("xs"))
-    filled = listed.join(gaps, listed["source"].eqNullSafe(gaps["source"])).select(listed["source"].alias("s"), _fill(F.col("xs"), F.col("gap")).alias("last"))
-    last = filled.select("s", F.explode("last").alias("x")).select("s", F.col("x.q").alias("xq"), F.col("x.key").alias("xkey"), F.col("x.copy").alias("xcopy"))
-    found = F.col("source").eqNullSafe(F.col("s")) & (F.col("q") == F.col("xq")) & F.col("key").eqNullSafe(F.col("xkey")) & (F.col("copy") == F.col("xcopy"))
-    chosen = chosen.join(_small(last, n_sources * LAST_PLACES * 64), found, "left").withColumn("chosen", F.col("chosen") | F.col("xcopy").isNotNull())
-    return chosen.select(
-        *[F.col(f"`{c}`") for c in names], "copy", "source_size", "target", (F.col("sure") + F.col("chosen").cast("int")).alias("copies")
-    )
+    return inside.unionByName(outside).drop("before", "end")
+
+
+def _with_left(spare: DataFrame, gaps: DataFrame, n_sources: int) -> DataFrame:
+    return spare.join(_small(gaps, n_sources), spare["source"].eqNullSafe(gaps["source"])).drop(gaps["source"])
+
+
+def _without(scratch: Scratch, spare: DataFrame, gaps: DataFrame, got: DataFrame, n_sources: int) -> tuple[DataFrame, DataFrame]:
+    """Spare items without the rows ``got``, and what is left of each source after them."""
+    got = _small(got, got.count())
+    used = spare.join(got, "row", "left_semi").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("used"))
+    rest = gaps.join(used, gaps["source"].eqNullSafe(used["s"]), "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+    return scratch.keep(spare.join(got, "row", "left_anti")), scratch.keep(rest)
 
 
 def _fill(xs: Column, gap: Column) -> Column:
-    """Of spare items in falling order of size, those that still fit, one after the other; and one more that overshoots if that ends nearer."""
+    """Of spare items in falling order of size, those that still fit, one after the other."""
     start = F.struct(gap.cast("double").alias("gap"), F.filter(xs, lambda x: F.lit(False)).alias("got"))
 
     def step(a: Column, x: Column) -> Column:
         fits = -x["neg"] <= a["gap"]
         return F.when(fits, F.struct((a["gap"] + x["neg"]).alias("gap"), F.concat(a["got"], F.array(x)).alias("got"))).otherwise(a)
 
-    def end(a: Column) -> Column:
-        over = F.filter(xs, lambda x: (-x["neg"] > a["gap"]) & (-x["neg"] - a["gap"] < a["gap"]) & ~F.array_contains(a["got"], x))
-        best = F.array_max(over)  # the smallest that overshoots; of equal sizes the last in order
-        return F.when(best.isNotNull(), F.concat(a["got"], F.array(best))).otherwise(a["got"])
-
-    return F.aggregate(xs, start, step, end)
+    return F.aggregate(xs, start, step)
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
