@@ -67,6 +67,26 @@ def test_license_against_plain_python(spark):
     assert sorted(got) == sorted(want) and want
 
 
+def test_license_lines_without_anchor(spark):
+    """Confirmed notices are found whatever words they hold; brute force over every part of every notice."""
+    classes, weights, bias, threshold = license.model()
+    texts = ["Released under the MIT terms.", "Released under the BSD 3-Clause terms.", "to any person obtaining a copy of this software and associated documentation files", "mit und.", "is with."]
+    for _, ts in sorted(license.NOTICES.items()):
+        for t in ts:
+            words = t.split()
+            texts += [" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
+    texts = [t for t in dict.fromkeys(texts) if not any(a in t.lower() for a in license.ANCHORS)]
+    want = set()
+    for t in texts:
+        p, grams = license._probabilities(weights, bias, t)[:-1], set(license._grams(t))
+        family = classes[p.argmax()]
+        if p.max() >= threshold and any(len(g & grams) >= license.CONFIRMED * len(g) for f, g in license._templates() if f == family):
+            want.add((t, family))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(texts[r.doc_id], r.family) for r in license.scan_lines(spark, df).collect()}
+    assert got == want and {(t, f) for t, f in zip(texts[:3], ("mit", "bsd", "mit"), strict=True)} <= want
+
+
 def test_license_notices_and_threshold():
     classes, weights, bias, threshold = license.model()
     right = sum(classes[license._probabilities(weights, bias, t).argmax()] == f for f, ts in license.NOTICES.items() for t in ts)

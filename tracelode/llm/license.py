@@ -13,9 +13,12 @@ but reaches it for no family is ``unknown``. A predicted family is confirmed
 by comparison with its templates: at least half of the 2-grams of one of them
 must be in the line.
 
-Only lines that hold one of the anchor words are scored. That is exact: the
-weights of all other words are left out of the model, so a line without an
-anchor scores as the bias does, which is "other".
+A line that holds one of the anchor strings is a notice by its score alone. A
+line without any is one only if its family is confirmed as well: other words
+have weights too, and a few of them ("this", "mit") lift a line of prose over
+the threshold. Before scoring, lines are dropped that hold neither an anchor
+nor a word of ``marks()``. That loses none: a line without an anchor that is
+confirmed holds half of the 2-grams of a template, and so one of those words.
 """
 
 from __future__ import annotations
@@ -122,7 +125,7 @@ UNFAMILIAR = [
     "Released under a custom license, see the file.",
     "The license of this text is given at the end.",
 ]
-#: A line without any of these strings (in lower case) is no notice.
+#: A line without any of these strings (in lower case) is a notice only if it is confirmed.
 ANCHORS = ("licens", "licenc", "copyright", "rights reserved", "permission", "redistribut", "public domain", "creative commons", "apache", "gnu", "gpl", "mozilla", "spdx", "endorse", "cc by", "cc-by", "cc0")
 NGRAMS = 3
 STEPS, RATE, RIDGE = 1500, 5.0, 1e-4
@@ -192,13 +195,44 @@ def _ngrams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, NGRAMS + 1)]))
 
 
-def _has_anchor(text: Column) -> Column:
+def _has(text: Column, strings) -> Column:
     found = F.lit(False)
-    for a in ANCHORS:
+    for a in strings:
         found = found | F.contains(text, F.lit(a))
     return found
 
 
+def _templates() -> list[tuple[str, set[str]]]:
+    """Family and 2-grams of each notice."""
+    return [(f, {g for g in _grams(t) if g.count(" ") == 1 or len(_grams(t)) == 1}) for f, ts in NOTICES.items() for t in ts]
+
+
+@lru_cache(1)
+def marks() -> tuple[str, ...]:
+    """Words of which every confirmed line without an anchor holds one.
+
+    Such a line holds at least ``CONFIRMED`` of a template's 2-grams, and none
+    with an anchor in one of its words. Words that occur in so many of the rest
+    that fewer than that remain are thus in it. They are picked greedily, those
+    of five letters or more first, and any other only where those do not do.
+    """
+    open_ = []
+    for _, grams in _templates():
+        rest = {g for g in grams if not any(a in w for w in g.split() for a in ANCHORS)}
+        need = math.ceil(CONFIRMED * len(grams))
+        if len(rest) >= need:
+            open_.append((rest, need))
+    out: list[str] = []
+    while open_:
+        gain: dict[str, int] = {}
+        for rest, need in open_:
+            for w in {w for g in rest for w in g.split()}:
+                gain[w] = gain.get(w, 0) + min(len(rest) - need + 1, sum(w in g.split() for g in rest))
+        out.append(max(gain, key=lambda w: (len(w) >= 5, gain[w], len(w), w)))
+        open_ = [(rest, need) for rest, need in (({g for g in r if out[-1] not in g.split()}, n) for r, n in open_) if len(rest) >= need]
+    return tuple(out)
+
+
 def scan_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, line (its number), family, probability, confirmed: a row for each line that is taken for a notice.
 
@@ -208,12 +242,12 @@ def scan_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     classes, weights, bias, threshold = model()
     lines = (
-        docs.where(_has_anchor(F.lower("text")))
+        docs.where(_has(F.lower("text"), ANCHORS + marks()))
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-        .withColumn("raw", F.lower("raw")).where(_has_anchor(F.col("raw")))
+        .withColumn("raw", F.lower("raw")).where(_has(F.col("raw"), ANCHORS + marks()))
     )
     table_of_weights = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
-    templates = [(k, f, g) for k, (f, t) in enumerate((f, t) for f, ts in NOTICES.items() for t in ts) for g in _grams(t) if g.count(" ") == 1 or len(_grams(t)) == 1]
+    templates = [(k, f, g) for k, (f, grams) in enumerate(_templates()) for g in sorted(grams)]
     sizes: dict[int, int] = {}
     for k, _, _ in templates:
         sizes[k] = sizes.get(k, 0) + 1
@@ -236,7 +270,7 @@ def scan_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     judged = named.join(covered, (F.col("raw") == F.col("of_raw")) & (F.col("family") == F.col("of")), "left").select(
         "raw", "family", F.round("best.p", 6).alias("probability"), (F.coalesce("part", F.lit(0.0)) >= CONFIRMED).alias("confirmed")
-    )
+    ).where(F.col("confirmed") | _has(F.col("raw"), ANCHORS))
     return lines.join(judged, "raw").select("doc_id", "line", "family", "probability", "confirmed")
 
 
