@@ -27,10 +27,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: shingles of five words, similarity of 0.8 or more.
 
-    Of rows that share the least doc_id of a group, one stays.
+    A row is known by doc_id and text, so a null or repeated id joins nothing:
+    of each group one row with its least doc_id (null is least) stays, and rows
+    of other groups stay whatever their id. Rows without words are in no group;
+    of those with equal doc_id and equal text, one stays.
     """
-    kept = neardup.near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["doc_id"])
+    rows = neardup.with_components(spark, docs).where("kept").select("doc_id", "mark", "root")
+    kept = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
+    kept = kept.unionByName(rows.where("root is null").select("doc_id", "mark")).distinct().select(F.col("doc_id").alias("_id"), F.col("mark").alias("_kept"))
+    marked = docs.withColumn("_mark", neardup.text_mark()).dropDuplicates(["doc_id", "_mark"])
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_kept"))).drop("_id", "_kept", "_mark")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,15 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, SMALL).count() > 0
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    def text(k):
+        return " ".join(f"w{k}x{j}" for j in range(60))
+
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (3, text(5)), (9, text(5) + " more"), (9, text(6)), (None, text(7)), (8, text(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_dedup(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    want = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (9, text(6)), (None, text(7))]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))

@@ -70,8 +70,8 @@ def _digests(n: int):
                 sizes.append(len(items))
                 nodes.append(node if len(items) else None)
                 signatures.append(signature(items).tobytes() if len(items) else None)
-            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "node", "signature"])
+            arrays = [ids, batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "n_shingles", "node", "signature"])
 
     return run
 
@@ -238,9 +238,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     columns are ignored. Sets are told apart by 64-bit hashes of 64-bit
     shingle hashes.
     """
+    return with_components(spark, docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def text_mark() -> F.Column:
+    """Tells texts of equal doc_id apart."""
+    return F.xxhash64("text")
+
+
+def with_components(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``mark`` (of the text) and ``root``, which names a component where ids are null or repeat; null for an empty set."""
     scratch = Scratch(spark)
-    plain = docs.select("doc_id", "text")
-    digests = scratch.keep(plain.mapInArrow(_digests(words), "doc_id long, n_shingles long, node long, signature binary"))
+    plain = docs.select("doc_id", "text", text_mark().alias("mark"))
+    digests = scratch.keep(plain.mapInArrow(_digests(words), "doc_id long, mark long, n_shingles long, node long, signature binary"))
     owner = F.coalesce("doc_id", F.lit(NULL_ID))
     nodes = scratch.keep(digests.where("node is not null").groupBy("node").agg(F.min(owner).alias("owner"), F.first("signature").alias("signature")))
     keys = scratch.keep(nodes.select("node", "signature").mapInArrow(_keys, "key long, node long"))
@@ -281,12 +291,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
 
     named = nodes.select("node", "owner").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("owner").alias("component"))
-    component = named.join(least, "root").select("node", "component")
-    out = digests.select("doc_id", "n_shingles", "node").join(component, "node", "left")
+    component = named.join(least, "root").select("node", "root", "component")
+    out = digests.select("doc_id", "mark", "n_shingles", "node").join(component, "node", "left")
     own = F.coalesce("doc_id", F.lit(NULL_ID))
     found = F.coalesce("component", own)
     return out.select(
-        "doc_id", "n_shingles", F.when(found != NULL_ID, found).alias("component_id"), (own == found).alias("kept")
+        "doc_id", "mark", "root", "n_shingles", F.when(found != NULL_ID, found).alias("component_id"), (own == found).alias("kept")
     )
 
 
