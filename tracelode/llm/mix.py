@@ -115,13 +115,14 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
     in_class = Window.partitionBy("source", "kind").orderBy("q", F.col("key").asc_nulls_first(), "copy")
     spare = (
         chosen.where("q is not null and not chosen and size > 0").select("source", "size", "q", "bucket", "key", "copy", "row", F.floor(F.log2("size")).alias("kind"))
-        .withColumn("n", F.row_number().over(in_class))
     )
     spare = scratch.keep(spare)
+    first = None
     taken: list[DataFrame] = []
     # the first of each class, larger ones first; while others still fit, the order goes on over those and is filled up again
     while True:
-        few = spare.withColumn("m", F.row_number().over(in_class)).where(F.col("m") <= LAST_PLACES)
+        few = scratch.keep(spare.withColumn("n", F.row_number().over(in_class)).where(F.col("n") <= LAST_PLACES))
+        first = few.select("row", F.lit(True).alias("early")) if first is None else first
         listed = few.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "q", "key", "copy", "row"))).alias("xs"))
         filled = listed.join(gaps, listed["source"].eqNullSafe(gaps["source"])).select(F.explode(_fill(F.col("xs"), F.col("left"))["got"]["row"]).alias("row"))
         spare, gaps = _without(scratch, spare, gaps, got := scratch.keep(filled), n_sources)
@@ -138,7 +139,8 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
         taken.append(got)
     # nothing fits now: one more that overshoots if that ends nearer, the smallest; of equal sizes the last of those that were listed first
     over = _with_left(spare, gaps, n_sources).where((F.col("size") > F.col("left")) & (F.col("size") - F.col("left") < F.col("left")))
-    rank = F.struct(-F.col("size"), F.col("n") <= LAST_PLACES, "q", "key", "copy", "row")
+    over = over.join(first, "row", "left")
+    rank = F.struct(-F.col("size"), F.coalesce("early", F.lit(False)), "q", "key", "copy", "row")
     taken.append(over.groupBy("source").agg(F.max(rank)["row"].alias("row")).select("row"))
     last = taken[0]
     for more in taken[1:]:
