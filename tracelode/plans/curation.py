@@ -111,6 +111,12 @@ def absence_check(s, d):
     return C.absent_everywhere(V.pages(s, d), terms, lambda c: X.compact_text(c, False)).select("case_id")
 
 
+def absence_check_all(s, d):
+    """No SQL: every benchmark item against the pages."""
+    terms = V.queries(s, d).select(F.col("item_id").alias("case_id"), F.col("text").alias("term"))
+    return C.absent_everywhere(V.pages(s, d), terms, lambda c: X.compact_text(c, False)).select("case_id")
+
+
 # --- answers: the assistant's turns, with what the user's turn before asks for ---
 
 
@@ -200,7 +206,7 @@ def golden_intervals(s, d):
     return t.select("a0", F.round(N.interval_iou(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")), 9).alias("iou"))
 
 
-QUERIES = {f.__name__: f for f in (audit_classify, audit_frequency, stratified_hash_split, group_atomic_split, split_counts_cube, gold_summary_by_episode, gold_counts_by_split, allowed_gold, gold_integration, collection_plan_90, plan_summary, referential_antijoin, recompute_diff, expected_counts, quarantined_rows, ranked_list_contract, absence_check, citation_policy, required_citation_coverage, fact_coverage, diagnosis_findings, diagnosis_counts, grounded_answer_metrics, fault_injection_matrix, citation_aliases, encoded_pages, golden_intervals)}
+QUERIES = {f.__name__: f for f in (audit_classify, audit_frequency, stratified_hash_split, group_atomic_split, split_counts_cube, gold_summary_by_episode, gold_counts_by_split, allowed_gold, gold_integration, collection_plan_90, plan_summary, referential_antijoin, recompute_diff, expected_counts, quarantined_rows, ranked_list_contract, absence_check, absence_check_all, citation_policy, required_citation_coverage, fact_coverage, diagnosis_findings, diagnosis_counts, grounded_answer_metrics, fault_injection_matrix, citation_aliases, encoded_pages, golden_intervals)}
 
 AUD = """r AS (SELECT d.doc_id AS episode_id, d.doc_id % 11 <> 0 AS tv, quality = 1 AS dq, CASE WHEN toxic = 1 THEN 'drop ' || lang WHEN d.doc_id % 13 = 0 THEN 'wrist_duplicate_ratio: FAIL' WHEN d.doc_id % 17 = 0 THEN 'other' END AS reason
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
