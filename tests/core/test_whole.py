@@ -16,3 +16,10 @@ def test_absence_check_all(spark):
     want = {x.item_id for x in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if any(compact(x.text) in t for t in texts)}
     got = [x.case_id for x in registry.QUERIES["absence_check_all"](spark, SMALL).collect()]
     assert sorted(got) == sorted(want) and max(want) >= 10
+
+
+def test_quota_bundle_all(spark):
+    items = {x.item_id for x in spark.read.parquet(f"{CHECK}/benchmark.parquet").collect()}
+    episodes = {x.user_id for x in spark.read.parquet(f"{CHECK}/events.parquet").select("user_id").distinct().collect()}
+    got = {x.item_id for x in registry.QUERIES["quota_bundle_all"](spark, CHECK).where("domain = 'robot'").collect()}
+    assert got == {e - 1 for e in episodes} & items and max(got) >= 40

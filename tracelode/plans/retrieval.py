@@ -127,6 +127,14 @@ def quota_bundle(s, d):
     return R.compose_quota(docs, robot.select("item_id", "rank", F.concat_ws(":", F.lit("robot"), F.col("event_id").cast("string")).alias("evidence_id")))
 
 
+def quota_bundle_all(s, d):
+    """No SQL: samples of every episode whose item exists."""
+    docs = bm25_topk(s, d).select("item_id", "rank", F.concat_ws(":", F.lit("doc"), "source_id", F.col("page_number").cast("string")).alias("evidence_id"))
+    w = Window.partitionBy("item_id").orderBy(F.desc("value"), "event_id")
+    robot = V.samples(s, d).withColumn("item_id", F.col("episode_id") - 1).join(V.queries(s, d).select("item_id"), "item_id", "left_semi").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    return R.compose_quota(docs, robot.select("item_id", "rank", F.concat_ws(":", F.lit("robot"), F.col("event_id").cast("string")).alias("evidence_id")))
+
+
 W, TOP = f"WITH {V.BM25}", "SELECT item_id, source_id, page_number, score, rank FROM bm"
 BOTH = f"{W}, {V.LEX}, {V.GOLD}"
 UNI = """un AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.source_id, b.source_id) AS source_id, coalesce(a.page_number, b.page_number) AS page_number,
@@ -148,7 +156,7 @@ def _first(ranking: str, name: str) -> str:
   ON g.item_id = r.item_id AND g.source_id = r.source_id AND g.page_number = r.page_number GROUP BY g.item_id)"""
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_with_zeros, bm25_term_contributions, bm25_corpus_stats, tokenize_pages, page_corpus_hash, corpus_summary, substring_snippets, dense_topk, dense_first_relevant_rank, maxsim_topk, candidate_union, rrf_weighted, rrf_nway, rerank_lexical, retrieval_metrics, metric_deltas, ndcg_at_k, union_coverage, tie_summary, quota_bundle)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_with_zeros, bm25_term_contributions, bm25_corpus_stats, tokenize_pages, page_corpus_hash, corpus_summary, substring_snippets, dense_topk, dense_first_relevant_rank, maxsim_topk, candidate_union, rrf_weighted, rrf_nway, rerank_lexical, retrieval_metrics, metric_deltas, ndcg_at_k, union_coverage, tie_summary, quota_bundle, quota_bundle_all)}
 ORACLE_SQL = {
     "bm25_topk": f"{W} {TOP}",
     "bm25_with_zeros": f"""{W.replace("FROM documents)", "FROM documents), pg_ AS (SELECT * FROM pg WHERE lang = 'de')").replace("AS tokens FROM pg)", "AS tokens FROM pg_)")},
