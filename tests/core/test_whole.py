@@ -23,3 +23,12 @@ def test_quota_bundle_all(spark):
     episodes = {x.user_id for x in spark.read.parquet(f"{CHECK}/events.parquet").select("user_id").distinct().collect()}
     got = {x.item_id for x in registry.QUERIES["quota_bundle_all"](spark, CHECK).where("domain = 'robot'").collect()}
     assert got == {e - 1 for e in episodes} & items and max(got) >= 40
+
+
+def test_bm25_with_zeros_all(spark):
+    got = registry.QUERIES["bm25_with_zeros_all"](spark, SMALL).cache()
+    n_items = spark.read.parquet(f"{SMALL}/benchmark.parquet").count()
+    assert got.count() == 20 * n_items and got.where("score = 0").count() > 0
+    best = {(x.item_id, x.rank): x for x in registry.QUERIES["bm25_topk"](spark, SMALL).collect()}
+    found = {(x.item_id, x.rank): x for x in got.where(F.col("rank") <= 5).collect()}
+    assert all(tuple(found[k][c] for c in ("source_id", "page_number", "score")) == (x.source_id, x.page_number, x.score) for k, x in best.items())

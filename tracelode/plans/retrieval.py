@@ -21,6 +21,11 @@ def bm25_with_zeros(s, d):
     return R.bm25_search(V.pages(s, d).where("lang = 'de'"), V.queries(s, d), 20, with_zeros=True)
 
 
+def bm25_with_zeros_all(s, d):
+    """No SQL: over all pages."""
+    return R.bm25_search(V.pages(s, d), V.queries(s, d), 20, with_zeros=True)
+
+
 def bm25_term_contributions(s, d):
     best = bm25_topk(s, d).where("rank = 1").select("item_id", *K)
     rows = R.bm25_contributions(V.pages(s, d), V.queries(s, d)).join(best, ["item_id", *K], "left_semi")
@@ -156,7 +161,7 @@ def _first(ranking: str, name: str) -> str:
   ON g.item_id = r.item_id AND g.source_id = r.source_id AND g.page_number = r.page_number GROUP BY g.item_id)"""
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_with_zeros, bm25_term_contributions, bm25_corpus_stats, tokenize_pages, page_corpus_hash, corpus_summary, substring_snippets, dense_topk, dense_first_relevant_rank, maxsim_topk, candidate_union, rrf_weighted, rrf_nway, rerank_lexical, retrieval_metrics, metric_deltas, ndcg_at_k, union_coverage, tie_summary, quota_bundle, quota_bundle_all)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_with_zeros, bm25_with_zeros_all, bm25_term_contributions, bm25_corpus_stats, tokenize_pages, page_corpus_hash, corpus_summary, substring_snippets, dense_topk, dense_first_relevant_rank, maxsim_topk, candidate_union, rrf_weighted, rrf_nway, rerank_lexical, retrieval_metrics, metric_deltas, ndcg_at_k, union_coverage, tie_summary, quota_bundle, quota_bundle_all)}
 ORACLE_SQL = {
     "bm25_topk": f"{W} {TOP}",
     "bm25_with_zeros": f"""{W.replace("FROM documents)", "FROM documents), pg_ AS (SELECT * FROM pg WHERE lang = 'de')").replace("AS tokens FROM pg)", "AS tokens FROM pg_)")},
