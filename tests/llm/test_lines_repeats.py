@@ -72,13 +72,28 @@ def test_repeats_against_brute_force(spark):
         a = r.randrange(60)
         texts.append(own[:20] + passage[a : a + r.randrange(60)] + own[20:])
     texts += [texts[20]] * 30
-    for n in (8, 20):
+    for n in (4, 8, 20):
         df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, first int")
         got = [tuple(x)[1:] for x in repeats.repeated_bytes(spark, df, n).drop("removed").orderBy("doc_id").collect()]
         assert got == _repeats(texts, n)
     assert repeats.repeated_bytes(spark, df.where("false")).count() == 0
 
 
+def test_repeats_in_very_long_texts(spark):
+    """Texts of more than one piece, with passages over the seams and exact copies."""
+    r = random.Random(11)
+    long = "".join(r.choice("abcdefgh é") for _ in range(300_000))
+    seam = repeats.PIECE
+    texts = [long, long[seam - 700 : seam + 500], "x" * 50 + long[2 * seam - 100 : 2 * seam + 99] + "y" * 400, long[10:210] + "z" * 150, long[::-1], long[::-1], "z" * 149 + "q"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.repeated_bytes(spark, df, 200).orderBy("doc_id").collect()
+    assert [tuple(x)[1:5] for x in got] == _repeats(texts, 200)
+    for x, text in zip(got, texts, strict=True):
+        raw = text.encode()
+        rest = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in x.removed]], [*[s for s, _ in x.removed], len(raw)], strict=True))
+        assert hashlib.sha256(rest).hexdigest() == x.kept_sha256
+
+
 def test_query10(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").select("text").toPandas()["text"].tolist()
     got = [tuple(x)[1:] for x in repeats.op10_repeated_bytes(spark, SMALL).orderBy("doc_id").collect()]
