@@ -132,6 +132,59 @@ def test_broken_pages(page):
     html.main_text(page)
 
 
+def test_scripts_never_leak():
+    for script in ('<script src="a.js" />var x=1;</script>', "<script src=/a/>var x=1;</script>", "<SCRIPT>if (a<b) x='</p>'</script >", "<style/>p{}</style>", "<textarea/>typed</textarea>", "<title/>head</title>"):
+        assert html.main_text(f"<article><p>One sentence of the story.</p>{script}<p>And one more of it.</p></article>") == "One sentence of the story. And one more of it."
+
+
+def test_class_names_inside_an_article():
+    text = "It is told in these words what there is to tell."
+    for part in ('<p class="story-header">%s</p>', '<div id="more-story"><p>%s</p></div>', '<section class="notice"><p>%s</p></section>', "<header><h2>%s</h2></header>"):
+        page = f"<nav><a href=/>Home</a></nav><article><p>{text}</p>{part % 'Nothing of this may go.'}<p>{text}</p></article><footer><p>Imprint and contact.</p></footer>"
+        assert html.main_text(page) == f"{text} Nothing of this may go. {text}"
+    for part in ('<div class="ad">%s</div>', '<aside><p>%s</p></aside>', '<div class="related-links"><p>%s</p></div>', '<div class="comments"><p>%s</p></div>', "<form><p>%s</p></form>", '<div class="cookie-notice"><p>%s</p></div>', "<button>%s</button>"):
+        page = f"<article><p>{text}</p>{part % 'All of this has to go.'}<p>{text}</p></article>"
+        assert html.main_text(page) == f"{text} {text}"
+
+
+#: Held-out pages, laid out unlike the training pages and the tables: (page, main text).
+HELD_OUT = [
+    (
+        "<html><body id=top><div class='wrapper'><div class='site-logo'>Example</div><ul class='navigation'><li><a href=1>A</a></li><li><a href=2>B</a></li></ul>"
+        "<div id='maincontent'><h1>On rivers</h1><div>Rivers run to the sea. <a href=x>Some</a> do not.</div><div>Those end in lakes, or in the sand.</div></div>"
+        "<div class='rail'><h3>Trending</h3><p>Ten things that you did not know.</p></div><div id=copyright>Copyright by the makers of this page.</div></div></body></html>",
+        "On rivers Rivers run to the sea. Some do not. Those end in lakes, or in the sand.",
+    ),
+    (
+        "<body><div role=dialog><p>We value your privacy and ask for your consent.</p></div><main><h1>Bread</h1><ol><li>Mix flour and water.<li>Wait a day.</ol>"
+        "<p>Then bake it &mdash; not too long.</p><div class=social>Follow us</div></main><section id=respond><h3>Reply</h3><p>What a fine bread, I have made it twice.</p></section></body>",
+        "Bread Mix flour and water. Wait a day. Then bake it — not too long.",
+    ),
+    (
+        "<body><table><tr><td class='toolbar'><a href=/>Start</a> | <a href=/n>News</a></td></tr><tr><td class='story'><p>An old layout of tables holds this text.</p>"
+        "<p>It goes on in a second part.</p></td><td class='sponsor'><p>This space is paid for by a firm.</p></td></tr></table></body>",
+        "An old layout of tables holds this text. It goes on in a second part.",
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HELD_OUT)
+def test_held_out_pages(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<b>", "</i>", '<a x="', "<p>x", "<div>x", "x</div>", "<script>", "<!--", "<", "&", "<p class=main>x</p><p class=ad>y</p>", "<a =", "<b><p>"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    html.classifier()
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    html.main_text(page)
+    html.main_text("<b>" * 100_000 + page[:500_000])
+    assert time.process_time() - began < 8
+
+
 def test_plain_text_page():
     text = "Only words stand here, and a good many of them, so they are the page."
     assert html.main_text(text) == text == html.main_text(f"<p>{text}")
