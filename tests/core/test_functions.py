@@ -21,8 +21,10 @@ def one(spark, *columns):
 
 
 def test_tokens(spark):
-    got = one(spark, text.tokenize_mixed(F.lit("Ａ STS-3215 v1.2 舵机 电")), text.tokenize_mixed(F.lit(None).cast("string")))
-    assert list(got[0]) == ["sts-3215", "v1.2", "舵", "机", "舵机", "电"]
+    words = F.lit("Ａ STS-3215 v1.2 舵机 电")
+    got = one(spark, text.tokenize_mixed(words), text.tokenize_mixed(F.lit(None).cast("string")), text.tokenize_mixed(words, nfkc=False))
+    assert list(got[0]) == ["a", "sts-3215", "v1.2", "舵", "机", "舵机", "电"]
+    assert list(got[2]) == ["sts-3215", "v1.2", "舵", "机", "舵机", "电"]
     assert list(got[1]) == []
     full = spark.createDataFrame([("Ａ １２",)], "t string").select(text.tokenize_mixed(F.col("t"), nfkc=True)).first()[0]
     assert full == unicodedata.normalize("NFKC", "ａ １２").lower().split()

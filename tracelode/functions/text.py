@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -14,6 +15,7 @@ WHITE = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x20\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2
 #: Token patterns.
 LATIN = "[a-z0-9]+(?:[._/+\\-][a-z0-9]+)*"
 CJK = "[\\u4e00-\\u9fff]+"
+_WHITE_RE = re.compile(WHITE)
 
 
 @F.pandas_udf(T.StringType())
@@ -36,7 +38,7 @@ def compact_text(text: Column, nfkc: bool = True) -> Column:
     return F.regexp_replace(F.lower(_nfkc(text) if nfkc else text), WHITE, "")
 
 
-def tokenize_mixed(text: Column, nfkc: bool = False) -> Column:
+def tokenize_mixed(text: Column, nfkc: bool = True) -> Column:
     """Latin tokens in order, then for each CJK run its characters and its bigrams. Null gives no tokens."""
     norm = F.lower(normalize_text(F.coalesce(text, F.lit("")), nfkc))
 
@@ -54,7 +56,7 @@ def sha256_text(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def page_columns(text: Column, nfkc: bool = False) -> dict[str, Column]:
+def page_columns(text: Column, nfkc: bool = True) -> dict[str, Column]:
     """The derived columns of a page: normalised text, its digest, and its length in code points."""
     norm = normalize_text(text, nfkc)
     return {"text": norm, "text_sha256": sha256_text(norm), "char_count": F.length(norm).cast("long")}
@@ -82,14 +84,29 @@ def parse_strict(text: Column, schema: str, keys: list[str]) -> Column:
     return F.when(same, F.from_json(raw, schema))
 
 
+def _folded(text: str | None) -> str:
+    text = text or ""
+    return _WHITE_RE.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _covered(answers: pd.Series, groups: pd.Series) -> pd.Series:
+    """Which groups have an alias in the answer; a function in Python, because both sides are folded to NFKC."""
+    out = []
+    for answer, own in zip(answers, groups, strict=True):
+        text = _folded(answer)
+        out.append(None if answer is None or own is None else [any(a is not None and _folded(a) in text for a in group) for group in own])
+    return pd.Series(out, dtype=object)
+
+
 def fact_group_covered(answer: Column, aliases: Column) -> Column:
-    """Is any alias in the answer, both compacted?"""
-    return F.exists(aliases, lambda a: F.contains(compact_text(answer, False), compact_text(a, False)))
+    """Is any alias in the answer, both compacted? Null for a null answer."""
+    return _covered(answer, F.array(aliases))[0]
 
 
 def required_fact_coverage(answer: Column, groups: Column) -> Column:
-    """The fraction of groups with an alias in the answer; 1 without groups."""
-    hit = F.size(F.filter(groups, lambda g: fact_group_covered(answer, g)))
+    """The fraction of groups with an alias in the answer; 1 without groups, null for a null answer."""
+    hit = F.size(F.filter(_covered(answer, groups), lambda g: g))
     return F.when(F.size(groups) == 0, F.lit(1.0)).otherwise(hit / F.size(groups))
 
 

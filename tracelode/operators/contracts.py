@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scan
+
 Rules = Mapping[str, Column]
 
 
@@ -208,7 +210,6 @@ def label_free(query: Column, labels: Iterable[str]) -> Column:
     return ~F.exists(F.array(*[F.lit(x.lower()) for x in labels]), lambda x: F.contains(F.lower(query), x))
 
 
-def absent_everywhere(pages: DataFrame, terms: DataFrame, compact) -> DataFrame:
-    """(case_id, term) of absence terms that some page contains after compaction; must be empty."""
-    p = pages.select(compact(F.col("text")).alias("t"))
-    return terms.join(p, F.contains(F.col("t"), compact(F.col("term"))), "left_semi")
+def absent_everywhere(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """item_id of absence terms (item_id, text) that some page contains after compaction of both; must be empty."""
+    return scan.containing(pages, terms, scan.compact, any_page=True)

@@ -14,11 +14,11 @@ from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions.text import tokenize_mixed
+from . import scan
 
-K1, B = 1.5, 0.75
-PAGE = ["source_id", "page_number"]
-#: Queries that are broadcast at once; more are taken in blocks, one pass over the corpus for each.
-QUERY_BLOCK = 10_000
+K1, B, PAGE = scan.K1, scan.B, scan.PAGE
+#: Numbers of query vectors that are broadcast at once; more are taken in blocks, one pass over the corpus for each.
+QUERY_NUMBERS = 1 << 20
 
 
 def check_top_k(top_k: int) -> int:
@@ -52,53 +52,35 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("item_id", F.posexplode(tokenize_mixed(F.col("text"))).alias("pos", "term"))
 
 
-def term_weights(pages: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def term_weights(pages: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, among: DataFrame | None = None) -> DataFrame:
     """(source_id, page_number, term, tf, df, dl, idf, weight) for those terms of the pages that queries use.
 
-    Token counts of pages are cut down to the queries' terms before anything is
-    shuffled. The corpus statistics are one row.
+    Corpus statistics are over all pages; rows are made for the pages of
+    ``among`` (source_id, page_number) only, where it is given. Token counts are
+    cut down to the queries' terms before anything is shuffled.
     """
     tokens = pages.select(*PAGE, tokenize_mixed(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len"))
     wanted = terms.select("term").distinct()
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    own = tokens if among is None else tokens.join(among.select(*PAGE).distinct(), PAGE, "left_semi")
     tf = (
-        tokens.select(*PAGE, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+        own.select(*PAGE, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
         .groupBy(*PAGE, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = (F.col("tf") * F.lit(k1 + 1)) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avg_len")))
     return tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", idf).withColumn("weight", F.col("idf") * part).drop("n", "avg_len")
 
 
-def bm25_scores(pages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(item_id, source_id, page_number, score) of pages that share a term with the query."""
-    terms = query_terms(queries)
-    hits = terms.join(term_weights(pages, terms, k1, b), "term")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "weight")))
-    return hits.groupBy("item_id", *PAGE).agg(N.fold_sum(F.transform(ordered, lambda x: x["weight"])).alias("score"))
-
-
 def bm25_search(pages: DataFrame, queries: DataFrame, top_k: int = 5, k1: float = K1, b: float = B, with_zeros: bool = False) -> DataFrame:
     """The best pages of each query by (-score, source_id, page_number).
 
-    With ``with_zeros`` pages without any query term fill a short list. At most
-    top_k of them can be needed, so each query is held against the first top_k
-    pages only, not the corpus. Scores are rounded to 6 places after ranking.
+    With ``with_zeros`` pages without any query term fill a short list. Scores
+    are rounded to 6 places after ranking.
     """
     check_top_k(top_k)
-    scores = bm25_scores(pages, queries, k1, b)
-    order = [F.desc("score"), *PAGE]
-    best = ranked(scores, ["item_id"], order, top_k)
-    if with_zeros:
-        # the first top_k zero pages of a query are among the first (hits in the list + top_k) pages in key order
-        front = pages.select(*PAGE).orderBy(*PAGE).limit(2 * top_k)
-        held = best.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"))
-        short = queries.select("item_id").join(held, "item_id", "left").where(F.coalesce("hits", F.lit(0)) < top_k)
-        zeros = (
-            short.select("item_id").crossJoin(F.broadcast(front)).join(best.select("item_id", *PAGE), ["item_id", *PAGE], "left_anti").withColumn("score", F.lit(0.0))
-        )
-        best = ranked(best.drop("rank").unionByName(zeros), ["item_id"], order, top_k)
+    best = scan.best_pages(pages, queries, top_k, with_zeros=with_zeros, k1=k1, b=b)
     return best.withColumn("score", F.round("score", 6))
 
 
@@ -108,40 +90,44 @@ def bm25_hits(pages: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame
     return best.join(pages.select(*PAGE, F.substring("text", 1, 240).alias("text_preview")), PAGE)
 
 
-def bm25_contributions(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, page, term, query_frequency, df, tf, idf, contribution) with position by (-contribution, term)."""
+def bm25_contributions(pages: DataFrame, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(item_id, page, term, query_frequency, df, tf, idf, contribution) with position by (-contribution, term).
+
+    ``among`` (item_id, source_id, page_number) names the pairs that are wanted;
+    without it all pairs that share a term are listed.
+    """
     terms = query_terms(queries)
     qf = terms.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("query_frequency"))
-    rows = qf.join(term_weights(pages, terms), "term").withColumn("contribution", F.col("weight") * F.col("query_frequency"))
+    weights = term_weights(pages, terms, among=among)
+    if among is not None:
+        weights = weights.join(among.select("item_id", *PAGE).distinct(), PAGE)
+    rows = qf.join(weights, "term" if among is None else ["item_id", "term"]).withColumn("contribution", F.col("weight") * F.col("query_frequency"))
     w = Window.partitionBy("item_id", *PAGE).orderBy(F.desc("contribution"), "term")
     return rows.withColumn("position", F.row_number().over(w))
 
 
-def tie_summary(hits: DataFrame, near: float = 1e-12) -> DataFrame:
-    """For each item: the top score, how many rows tie with it exactly, and how many lie within ``near``."""
-    top = F.max("score").over(Window.partitionBy("item_id"))
-    return hits.withColumn("top", top).groupBy("item_id").agg(
-        F.first("top").alias("top_score"),
-        F.sum((F.col("score") == F.col("top")).cast("int")).alias("n_exact"),
-        F.sum((F.col("top") - F.col("score") <= near).cast("int")).alias("n_near"),
-    )
+def tie_summary(pages: DataFrame, queries: DataFrame, near: float = 1e-12, shares: bool = True) -> DataFrame:
+    """For each item over all pages: the top score, how many rows tie with it exactly, and how many lie within ``near``."""
+    return scan.ties(pages, queries, near, shares)
 
 
 # --- vectors ---
 
 
-def against_all(rows: DataFrame, queries: DataFrame, search: Callable[[DataFrame], DataFrame], block: int = QUERY_BLOCK) -> DataFrame:
+def against_all(rows: DataFrame, queries: DataFrame, vectors: str, search: Callable[[DataFrame], DataFrame], bound: int = QUERY_NUMBERS) -> DataFrame:
     """Stated queries against all rows: ``search`` ranks the pairs of all rows with one block of queries.
 
-    The queries are counted; up to ``block`` of them are broadcast as they are,
-    more are dealt into blocks by a hash of item_id.
+    The numbers in the queries' vectors are counted; up to ``bound`` of them are
+    broadcast as they are, more are dealt into blocks by a hash of item_id.
     """
-    n = -(-queries.count() // block)
-    if n <= 1:
+    nested = dict(queries.dtypes)[vectors].startswith("array<array")
+    size = F.aggregate(F.transform(vectors, F.size), F.lit(0), lambda a, x: a + x) if nested else F.size(vectors)
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    if total <= bound:
         return search(rows.crossJoin(F.broadcast(queries)))
-    out = None
-    for k in range(2 * n):  # at half load, so that an uneven deal stays in the bound
-        part = search(rows.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("item_id"), F.lit(2 * n)) == k))))
+    out, n = None, -(-2 * total // bound)  # at half load, so that an uneven deal stays in the bound
+    for k in range(n):
+        part = search(rows.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k))))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -157,7 +143,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> Dat
     q = queries.select("item_id", N.unit_vector(F.col("embedding")).alias("qv")).where("qv is not null")
     d = vectors.select("vec_id", N.unit_vector(F.col("embedding")).alias("dv")).where("dv is not null")
     score = F.round(N.dot(F.col("qv"), F.col("dv")), 6).alias("score")
-    return against_all(d, q, lambda x: ranked(x.select("item_id", "vec_id", score), ["item_id"], [F.desc("score"), F.col("vec_id")], top_k))
+    return against_all(d, q, "qv", lambda x: ranked(x.select("item_id", "vec_id", score), ["item_id"], [F.desc("score"), F.col("vec_id")], top_k))
 
 
 def maxsim_search(documents: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
@@ -166,7 +152,7 @@ def maxsim_search(documents: DataFrame, queries: DataFrame, top_k: int = 5) -> D
     d = documents.select(F.col("doc_id"), F.col("vectors").alias("dv"))
     q = queries.select("item_id", F.col("vectors").alias("qv"))
     score = F.round(N.max_sim(F.col("qv"), F.col("dv")), 6).alias("score")
-    return against_all(d, q, lambda x: ranked(x.select("item_id", "doc_id", score), ["item_id"], [F.desc("score"), F.col("doc_id")], top_k))
+    return against_all(d, q, "qv", lambda x: ranked(x.select("item_id", "doc_id", score), ["item_id"], [F.desc("score"), F.col("doc_id")], top_k))
 
 
 def rerank(pool: DataFrame, score: Column, top_k: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import inference
 from ..functions import text as X
 from ..operators import ranking as R
+from ..operators import timeseries as TS
 from . import views as V
 
 K = ["source_id", "page_number"]
@@ -18,17 +19,12 @@ def bm25_topk(s, d):
 
 
 def bm25_with_zeros(s, d):
-    return R.bm25_search(V.pages(s, d).where("lang = 'de'"), V.queries(s, d), 20, with_zeros=True)
-
-
-def bm25_with_zeros_all(s, d):
-    """No SQL: over all pages."""
     return R.bm25_search(V.pages(s, d), V.queries(s, d), 20, with_zeros=True)
 
 
 def bm25_term_contributions(s, d):
     best = bm25_topk(s, d).where("rank = 1").select("item_id", *K)
-    rows = R.bm25_contributions(V.pages(s, d), V.queries(s, d)).join(best, ["item_id", *K], "left_semi")
+    rows = R.bm25_contributions(V.pages(s, d), V.queries(s, d), best)
     return rows.select("item_id", *K, "term", "query_frequency", "df", "tf", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"), "position")
 
 
@@ -64,10 +60,15 @@ def dense_topk(s, d):
 
 
 def dense_first_relevant_rank(s, d):
+    """Labels are joined to the ranked rows, never rows of a label to each other; an item whose label no other vector has has no gold."""
     v = _vectors(s, d)
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), F.col("label").alias("want"))
-    same = q.join(v, F.col("want") == F.col("label")).where("item_id <> vec_id").select("item_id", "vec_id")
-    return R.first_gold_rank(dense_topk(s, d), same, ["vec_id"])
+    labels = v.select("vec_id", "label")
+    wanted = labels.select(F.col("vec_id").alias("item_id"), F.col("label").alias("want"))
+    hits = dense_topk(s, d).where("item_id <> vec_id").join(wanted, "item_id").join(labels, "vec_id").where("want = label")
+    first = hits.groupBy("item_id").agg(F.min("rank").alias("gold_rank"))
+    shared = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cases = wanted.where("item_id % 20 = 0").join(shared, F.col("want") == F.col("label"), "left_semi").select("item_id")
+    return cases.join(first, "item_id", "left")
 
 
 def maxsim_topk(s, d):
@@ -122,21 +123,13 @@ def union_coverage(s, d):
 
 
 def tie_summary(s, d):
-    return R.tie_summary(V.lexical_hits(s, d)).select("item_id", F.round("top_score", 9).alias("top_score"), "n_exact", "n_near")
+    return R.tie_summary(V.pages(s, d), V.queries(s, d)).select("item_id", F.round("top_score", 9).alias("top_score"), "n_exact", "n_near")
 
 
 def quota_bundle(s, d):
     docs = bm25_topk(s, d).select("item_id", "rank", F.concat_ws(":", F.lit("doc"), "source_id", F.col("page_number").cast("string")).alias("evidence_id"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("value"), "event_id")
-    robot = V.samples(s, d).where("episode_id <= 40").withColumn("item_id", F.col("episode_id") - 1).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    return R.compose_quota(docs, robot.select("item_id", "rank", F.concat_ws(":", F.lit("robot"), F.col("event_id").cast("string")).alias("evidence_id")))
-
-
-def quota_bundle_all(s, d):
-    """No SQL: samples of every episode whose item exists."""
-    docs = bm25_topk(s, d).select("item_id", "rank", F.concat_ws(":", F.lit("doc"), "source_id", F.col("page_number").cast("string")).alias("evidence_id"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("value"), "event_id")
-    robot = V.samples(s, d).withColumn("item_id", F.col("episode_id") - 1).join(V.queries(s, d).select("item_id"), "item_id", "left_semi").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    scores = TS.change_scores(V.samples(s, d)).withColumn("item_id", F.col("episode_id") - 1).join(V.queries(s, d).select("item_id"), "item_id", "left_semi")
+    robot = R.ranked(scores, ["item_id"], [F.desc("fused_state_action_score"), F.col("frame_index")], 5)
     return R.compose_quota(docs, robot.select("item_id", "rank", F.concat_ws(":", F.lit("robot"), F.col("event_id").cast("string")).alias("evidence_id")))
 
 
@@ -161,10 +154,10 @@ def _first(ranking: str, name: str) -> str:
   ON g.item_id = r.item_id AND g.source_id = r.source_id AND g.page_number = r.page_number GROUP BY g.item_id)"""
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_with_zeros, bm25_with_zeros_all, bm25_term_contributions, bm25_corpus_stats, tokenize_pages, page_corpus_hash, corpus_summary, substring_snippets, dense_topk, dense_first_relevant_rank, maxsim_topk, candidate_union, rrf_weighted, rrf_nway, rerank_lexical, retrieval_metrics, metric_deltas, ndcg_at_k, union_coverage, tie_summary, quota_bundle, quota_bundle_all)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_with_zeros, bm25_term_contributions, bm25_corpus_stats, tokenize_pages, page_corpus_hash, corpus_summary, substring_snippets, dense_topk, dense_first_relevant_rank, maxsim_topk, candidate_union, rrf_weighted, rrf_nway, rerank_lexical, retrieval_metrics, metric_deltas, ndcg_at_k, union_coverage, tie_summary, quota_bundle)}
 ORACLE_SQL = {
     "bm25_topk": f"{W} {TOP}",
-    "bm25_with_zeros": f"""{W.replace("FROM documents)", "FROM documents), pg_ AS (SELECT * FROM pg WHERE lang = 'de')").replace("AS tokens FROM pg)", "AS tokens FROM pg_)")},
+    "bm25_with_zeros": f"""{W},
 z AS (SELECT b.item_id, t.source_id, t.page_number, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN tok t LEFT JOIN sco USING (item_id, source_id, page_number))
 SELECT item_id, source_id, page_number, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source_id, page_number) AS rank FROM z) WHERE rank <= 20""",
     "bm25_term_contributions": f"""{W}, qf AS (SELECT item_id, term, count(*) AS query_frequency FROM q GROUP BY item_id, term)
@@ -205,9 +198,10 @@ FROM g LEFT JOIN h ON g.item_id = h.item_id""",
 p AS (SELECT item_id, count(*) AS pool, sum((from_bm25 AND from_dense)::INT) AS overlap, max(is_gold::INT) AS any_, max((is_gold AND from_bm25)::INT) AS first_ FROM m GROUP BY item_id),
 c AS (SELECT g.item_id, coalesce(pool, 0) AS pool, coalesce(overlap, 0) AS overlap, coalesce(any_, 0) AS any_, coalesce(first_, 0) AS first_ FROM (SELECT DISTINCT item_id FROM gold) g LEFT JOIN p USING (item_id))
 SELECT count(*) AS n_cases, round(avg(any_), 9) AS candidate_recall, round(avg(pool), 9) AS avg_pool_size, round(avg(overlap), 9) AS avg_overlap, round(avg(any_) - avg(first_), 9) AS coverage_gain FROM c""",
-    "tie_summary": f"""{BOTH}, t AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS top FROM ln_)
+    "tie_summary": f"""{BOTH}, t AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS top FROM lex)
 SELECT item_id, round(max(top), 9) AS top_score, sum((score = top)::INT)::BIGINT AS n_exact, sum((top - score <= 1e-12)::INT)::BIGINT AS n_near FROM t GROUP BY item_id""",
-    "quota_bundle": f"""{W}, {V.SAMPLES}, r AS (SELECT episode_id - 1 AS item_id, row_number() OVER (PARTITION BY episode_id ORDER BY value DESC, event_id) AS rank, 'robot:' || event_id AS evidence_id FROM s WHERE episode_id <= 40),
+    "quota_bundle": f"""{W}, {V.SAMPLES}, r AS (SELECT episode_id - 1 AS item_id, row_number() OVER (PARTITION BY episode_id ORDER BY fused DESC, frame_index) AS rank, 'robot:' || event_id AS evidence_id FROM sc
+  WHERE episode_id - 1 IN (SELECT item_id FROM benchmark)),
 u AS (SELECT item_id, 0 AS b, 'document' AS domain, rank, 'doc:' || source_id || ':' || page_number AS evidence_id FROM bm WHERE rank <= 3 UNION ALL SELECT item_id, 1, 'robot', rank, evidence_id FROM r WHERE rank <= 2)
 SELECT item_id, domain, rank, evidence_id, row_number() OVER (PARTITION BY item_id ORDER BY b, rank) AS position FROM u""",
 }

@@ -14,8 +14,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select(F.col("source").alias("source_id"), F.row_number().over(w).cast("long").alias("page_number"), "doc_id", "text", "lang")
+    """Documents as pages: the number of a page is its doc_id, counted from 1, so no source is ever numbered in one task."""
+    return table(spark, d, "documents").select(F.col("source").alias("source_id"), (F.col("doc_id") + 1).alias("page_number"), "doc_id", "text", "lang")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
@@ -23,11 +23,10 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that hold a query's whole text: the stated queries against all pages, in one pass."""
-    from ..operators.ranking import against_all
+    """Pages that hold a query's whole text."""
+    from ..operators.scan import containing
 
-    q = queries(spark, d).select("item_id", F.col("text").alias("q"))
-    return against_all(pages(spark, d), q, lambda x: x.where(F.contains(F.col("text"), F.col("q"))).select("item_id", "source_id", "page_number"))
+    return containing(pages(spark, d), queries(spark, d))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +73,7 @@ an AS (SELECT event_id, s.episode_id, 'mode' || (event_id % 3) AS mode, greatest
   least(n_frames - 1, frame_index + 2) AS end_frame, timestamp_sec AS center_sec FROM s JOIN n ON s.episode_id = n.episode_id WHERE event_type = 'error')
 """
 TOKEN = r"regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/+\-][a-z0-9]+)*')"
-PAGES = "pg AS (SELECT source AS source_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, doc_id, text, lang FROM documents)"
+PAGES = "pg AS (SELECT source AS source_id, doc_id + 1 AS page_number, doc_id, text, lang FROM documents)"
 BM25 = f"""{PAGES},
 tok AS (SELECT source_id, page_number, {TOKEN} AS tokens FROM pg),
 st AS (SELECT count(*) AS n, avg(len(tokens)) AS avg_len FROM tok),
@@ -95,14 +94,9 @@ GOLD = "gold AS (SELECT item_id, source_id, page_number FROM pg JOIN benchmark b
 
 def lexical_hits(spark: SparkSession, d: str) -> DataFrame:
     """A second ranked list for fusion: the share of a query's tokens that a page has."""
-    from ..functions.text import tokenize_mixed
-    from ..operators.ranking import against_all, ranked
-
-    q = queries(spark, d).select("item_id", F.array_distinct(tokenize_mixed(F.col("text"))).alias("qd"))
-    p = pages(spark, d).select("source_id", "page_number", tokenize_mixed(F.col("text")).alias("tokens"))
-    score = F.size(F.array_intersect("qd", "tokens")) / F.size("qd")
-    order = [F.desc("score"), F.col("source_id"), F.col("page_number")]
-    return against_all(p, q, lambda x: ranked(x.select("item_id", "source_id", "page_number", score.alias("score")), ["item_id"], order, 5))
+    from ..operators.scan import best_pages
+
+    return best_pages(pages(spark, d), queries(spark, d), 5, shares=True, with_zeros=True)
 
 
 def peaks_of(s: DataFrame) -> DataFrame:
