@@ -63,23 +63,36 @@ def split_digest(seed: str, *parts: Column) -> Column:
 def stratified_split(rows: DataFrame, stratum: str, key: str, seed: str, held_out: Mapping[str, int]) -> DataFrame:
     """Adds rank_digest and split: the first n of each stratum by (digest, key) are held out.
 
-    n must be smaller than the stratum, or it is an error.
+    n must be smaller than the stratum, or it is an error. Only the first n of a
+    stratum in each task are sorted; what goes back to the rows is one bound and
+    one count for each stratum. Rows with equal keys are on one side.
     """
-    digest = split_digest(seed, F.col(stratum), F.col(key))
-    n = F.coalesce(F.create_map(*[F.lit(x) for k, v in held_out.items() for x in (k, v)])[F.col(stratum)], F.lit(0))
-    w = Window.partitionBy(stratum)
-    out = rows.withColumn("rank_digest", digest).withColumn("position", F.row_number().over(w.orderBy("rank_digest", key))).withColumn("population", F.count(F.lit(1)).over(w))
-    bad = (n > 0) & (n >= F.col("population"))
-    split = F.when(bad, F.raise_error(F.lit("a stratum has too few rows to hold out")).cast("string")).when(F.col("position") <= n, "held_out").otherwise("development")
-    return out.withColumn("split", split).drop("position", "population")
+    marked = rows.withColumn("rank_digest", split_digest(seed, F.col(stratum), F.col(key)))
+    wanted = {k: v for k, v in held_out.items() if v > 0}
+    if not wanted:
+        return marked.withColumn("split", F.lit("development"))
+    n = F.create_map(*[F.lit(x) for k, v in wanted.items() for x in (k, v)])[F.col(stratum)]
+    w = Window.partitionBy(stratum).orderBy("rank_digest", key)
+    some = marked.where(F.col(stratum).isin(*wanted)).select(stratum, "rank_digest", key).withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= max(wanted.values()))
+    bound = some.where(F.col("_at") <= n).groupBy(F.col(stratum).alias("_of")).agg(F.max(F.struct("rank_digest", key)).alias("_bound"))
+    sizes = rows.where(F.col(stratum).isin(*wanted)).groupBy(F.col(stratum).alias("_of")).agg(F.count(F.lit(1)).alias("_population"))
+    out = marked.join(F.broadcast(bound.join(sizes, "_of")), F.col(stratum) == F.col("_of"), "left")  # a row for each stratum that is held out
+    bad = n >= F.col("_population")
+    first = F.coalesce(F.struct("rank_digest", key) <= F.col("_bound"), F.lit(False))
+    split = F.when(bad, F.raise_error(F.lit("a stratum has too few rows to hold out")).cast("string")).when(first, "held_out").otherwise("development")
+    return out.withColumn("split", split).drop("_of", "_bound", "_population")
 
 
 def group_split(rows: DataFrame, group: str, seed: str, held_out_groups: int) -> DataFrame:
-    """Adds split so that every group is on one side: the first groups by (digest, group) are held out."""
-    groups = rows.select(group).distinct().withColumn("rank_digest", split_digest(seed, F.col(group)))
-    order = Window.orderBy("rank_digest", group)
-    named = groups.withColumn("split", F.when(F.row_number().over(order) <= held_out_groups, "held_out").otherwise("development"))
-    return rows.join(named, group)
+    """Adds rank_digest and split so that every group is on one side: the first groups by (digest, group) are held out.
+
+    Only the first groups of each task are sorted. A null group is a group.
+    """
+    digest = split_digest(seed, F.col(group))
+    named = rows.withColumn("rank_digest", digest)
+    first = rows.select(F.col(group).alias("_group")).distinct().withColumn("_digest", split_digest(seed, F.col("_group"))).orderBy("_digest", "_group").limit(held_out_groups)
+    out = named.join(first.select("_group", F.lit(True).alias("_held")), F.col(group).eqNullSafe(F.col("_group")), "left")
+    return out.withColumn("split", F.when(F.col("_held"), "held_out").otherwise("development")).drop("_group", "_held")
 
 
 def split_counts(assigned: DataFrame, stratum: str) -> DataFrame:
