@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +87,20 @@ def resolve_citations(ids: Column, aliases: Column, abstain: Column) -> Column:
     return F.when(bad.isNotNull(), F.raise_error(bad).cast(f"array<{REF}>")).otherwise(F.transform(ids, lambda i: F.element_at(aliases, i)))
 
 
+#: How an answer may name a frame.
+FRAME_FORMS = ("frame %s", "frame_index %s", "frame_index=%s", "frame_index 是 %s", "frame_index是%s", "frame_index 为 %s", "frame_index为%s", "帧%s", "帧 %s")
+
+
+@F.pandas_udf("array<string>")
+def _time_forms(times: pd.Series) -> pd.Series:
+    """A time at three precisions, rounded from its exact binary value; Java's formatter rounds from the shortest decimal and differs at halves."""
+    return times.map(lambda t: [f"{t:.{n}f}" for n in (7, 4, 3)])
+
+
 def frame_fact_groups(frame: Column, time: Column) -> Column:
     """Surface forms of a frame number, and of a time at three precisions."""
-    n, forms = frame.cast("string"), ("frame %s", "frame_index %s", "frame_index=%s", "frame_index 是 %s", "frame_index是%s", "frame_index 为 %s", "frame_index为%s", "帧%s", "帧 %s")
-    return F.array(F.array(*[F.format_string(f, n) for f in forms]), F.array(*[F.format_string(f, time) for f in ("%.7f", "%.4f", "%.3f")]))
+    n = frame.cast("string")
+    return F.array(F.array(*[F.format_string(f, n) for f in FRAME_FORMS]), _time_forms(time))
 
 
 # --- diagnosis ---

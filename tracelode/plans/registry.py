@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import curation, episodes, retrieval
+from . import cases, curation, episodes, retrieval
 
-QUERIES = retrieval.QUERIES | episodes.QUERIES | curation.QUERIES
-ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | episodes.ORACLE_SQL | curation.ORACLE_SQL
+QUERIES = retrieval.QUERIES | episodes.QUERIES | curation.QUERIES | cases.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | episodes.ORACLE_SQL | curation.ORACLE_SQL | cases.ORACLE_SQL
 FLAGSHIP = "bm25_topk"
