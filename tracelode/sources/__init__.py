@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,6 +36,16 @@ SLICE = (
 )
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared one; a temporary one only where the master is local and none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tracelode-")
+    return f"{root.rstrip('/')}/tracelode-io-{uuid.uuid4().hex}"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed JSON lines; blank lines do not count, a bad line fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -131,6 +143,26 @@ def write_frames(df: DataFrame, path: str) -> None:
     df.repartition("episode_id").sortWithinPartitions("episode_id", "frame_index", "camera").write.mode("overwrite").partitionBy("episode_id").parquet(path)
 
 
+#: The columns of the collection plan in order.
+PLAN = "plan_row_id string, pair_group_id string, slot_index int, slot_role string, planned_physical_cause string, planned_intervention_type string, repeat_slot boolean, benchmark_target string"
+
+
+def write_plan(plan: DataFrame, path: str) -> None:
+    """The collection plan as CSV in plan order, the same bytes for the same plan."""
+    names = [c.split()[0] for c in PLAN.split(", ")]
+    plan.select(*names).orderBy("plan_row_id").coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)  # 90 rows by its contract
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    """A collection plan with its types; a header with other columns, or a value of another type, fails the read."""
+    return spark.read.schema(PLAN).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
+def resolve_path(path, root: str):
+    """A stored path as an absolute one: relative to the root unless it is absolute already."""
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str, edited: str) -> DataFrame:
     """Rows of ``new`` that are absent are added; existing rows stay, but those not edited take the new values."""
     old, fresh = existing.alias("old"), new.alias("new")
