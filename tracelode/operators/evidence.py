@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import required_fact_coverage
 
@@ -91,7 +92,7 @@ def resolve_citations(ids: Column, aliases: Column, abstain: Column) -> Column:
 FRAME_FORMS = ("frame %s", "frame_index %s", "frame_index=%s", "frame_index 是 %s", "frame_index是%s", "frame_index 为 %s", "frame_index为%s", "帧%s", "帧 %s")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _time_forms(times: pd.Series) -> pd.Series:
     """A time at three precisions, rounded from its exact binary value; Java's formatter rounds from the shortest decimal and differs at halves."""
     return times.map(lambda t: [f"{t:.{n}f}" for n in (7, 4, 3)])

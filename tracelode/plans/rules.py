@@ -19,9 +19,12 @@ from ..operators import splits as SP
 from . import curation, episodes
 from . import views as V
 
-I = F.col("doc_id")
-SHA = F.sha2(I.cast("string"), 256)
-GOOD_TIME, BAD_TIME = I + 1.0, I - 1.0
+def _id() -> Column:
+    return F.col("doc_id")
+
+
+def _sha() -> Column:
+    return F.sha2(F.col("doc_id").cast("string"), 256)
 
 
 def _rows(s, d) -> DataFrame:
@@ -33,15 +36,17 @@ def _broken(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 
 def contract_bbox(s, d):
-    b = F.struct((I % 5 / 10.0).alias("x1"), F.lit(0.1).alias("y1"), (F.when(I % 7 == 0, 1.5).otherwise(0.35)).alias("x2"), F.when(I % 3 == 0, 0.1).otherwise(0.9).alias("y2"))
+    i = _id()
+    b = F.struct((i % 5 / 10.0).alias("x1"), F.lit(0.1).alias("y1"), (F.when(i % 7 == 0, 1.5).otherwise(0.35)).alias("x2"), F.when(i % 3 == 0, 0.1).otherwise(0.9).alias("y2"))
     return _broken(_rows(s, d).withColumn("bbox", b), C.bbox_rules())
 
 
 def _refs(s, d):
-    kind = F.when(I % 3 == 0, "pdf").when(I % 3 == 1, "robot_sequence").otherwise("image")
+    i = _id()
+    kind = F.when(i % 3 == 0, "pdf").when(i % 3 == 1, "robot_sequence").otherwise("image")
     r = F.struct(
-        kind.alias("source_type"), F.when(I % 6 != 0, I).alias("page_number"), F.when(I % 4 != 0, I * 1.0).alias("time_start_sec"), F.when(I % 5 == 0, BAD_TIME).otherwise(GOOD_TIME).alias("time_end_sec"),
-        F.when(I % 2 == 0, I).alias("frame_index"), F.when(I % 8 != 0, "front").alias("camera"),
+        kind.alias("source_type"), F.when(i % 6 != 0, i).alias("page_number"), F.when(i % 4 != 0, i * 1.0).alias("time_start_sec"), F.when(i % 5 == 0, i - 1.0).otherwise(i + 1.0).alias("time_end_sec"),
+        F.when(i % 2 == 0, i).alias("frame_index"), F.when(i % 8 != 0, "front").alias("camera"),
     )
     return _rows(s, d).withColumn("ref", r)
 
@@ -51,70 +56,79 @@ def contract_ref(s, d):
 
 
 def contract_manifest(s, d):
+    i = _id()
     x = _rows(s, d).withColumns({
-        "source_type": F.when(I % 2 == 0, "pdf").otherwise("image"), "page_count": F.when(I % 6 != 0, 3), "width_px": F.lit(4), "height_px": F.when(I % 5 != 0, 4),
-        "sha256": F.when(I % 7 == 0, F.upper(SHA)).otherwise(SHA), "size_bytes": F.when(I % 11 == 0, -1).otherwise(I),
+        "source_type": F.when(i % 2 == 0, "pdf").otherwise("image"), "page_count": F.when(i % 6 != 0, 3), "width_px": F.lit(4), "height_px": F.when(i % 5 != 0, 4),
+        "sha256": F.when(i % 7 == 0, F.upper(_sha())).otherwise(_sha()), "size_bytes": F.when(i % 11 == 0, -1).otherwise(i),
     })
     return _broken(x, C.manifest_rules())
 
 
 def contract_eval_case(s, d):
+    i = _id()
     x = _rows(s, d).withColumns({
-        "annotation_status": F.when(I % 4 == 0, "draft").otherwise("verified"), "answerable": F.when(I % 9 != 1, I % 2 == 0), "expected_answer": F.when(I % 5 == 0, " ").otherwise("a"),
-        "expected_evidence": F.when(I % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("e"))), "verified_by": F.when(I % 7 != 0, "r"), "verified_at": F.lit("2020"),
+        "annotation_status": F.when(i % 4 == 0, "draft").otherwise("verified"), "answerable": F.when(i % 9 != 1, i % 2 == 0), "expected_answer": F.when(i % 5 == 0, " ").otherwise("a"),
+        "expected_evidence": F.when(i % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("e"))), "verified_by": F.when(i % 7 != 0, "r"), "verified_at": F.lit("2020"),
     })
     return _broken(x, C.eval_case_rules())
 
 
 def contract_slice(s, d):
+    i = _id()
     x = _rows(s, d).withColumns({
-        "start_sec": I * 1.0, "end_sec": F.when(I % 5 == 0, I * 1.0).otherwise(I + 2.0), "midpoint_timestamp_sec": F.when(I % 7 == 0, I + 2.0).otherwise(I + 1.0), "start_frame_index": I,
-        "midpoint_frame_index": F.when(I % 3 == 0, I - 1).otherwise(I + 1), "end_frame_index_exclusive": I + 4,
+        "start_sec": i * 1.0, "end_sec": F.when(i % 5 == 0, i * 1.0).otherwise(i + 2.0), "midpoint_timestamp_sec": F.when(i % 7 == 0, i + 2.0).otherwise(i + 1.0), "start_frame_index": i,
+        "midpoint_frame_index": F.when(i % 3 == 0, i - 1).otherwise(i + 1), "end_frame_index_exclusive": i + 4,
     })
     return _broken(x, C.slice_rules())
 
 
 def contract_selection(s, d):
-    x = _rows(s, d).withColumns({"start_sec": I * 1.0, "end_sec": I + 2.0, "selected_timestamp_sec": F.when(I % 4 == 0, I + 2.0).otherwise(I * 1.0), "a": F.lit(1.0), "b": I * 1.0, "fused": F.when(I % 3 == 0, 0.5).otherwise(F.greatest(F.lit(1.0), I * 1.0))})
+    i = _id()
+    x = _rows(s, d).withColumns({"start_sec": i * 1.0, "end_sec": i + 2.0, "selected_timestamp_sec": F.when(i % 4 == 0, i + 2.0).otherwise(i * 1.0), "a": F.lit(1.0), "b": i * 1.0, "fused": F.when(i % 3 == 0, 0.5).otherwise(F.greatest(F.lit(1.0), i * 1.0))})
     return _broken(x, C.selection_rules(("a", "b"), "fused"))
 
 
 def contract_keyframe(s, d):
-    x = _rows(s, d).withColumns({"shared_sample_budget": F.when(I % 3 == 0, 5).otherwise(I * 2), "evidence_image_budget": F.when(I % 4 == 0, 0).otherwise(F.when(I % 3 == 0, 5).otherwise(I * 2) * 2)})
-    return _broken(x, C.keyframe_rules(2, I))
+    i = _id()
+    x = _rows(s, d).withColumns({"shared_sample_budget": F.when(i % 3 == 0, 5).otherwise(i * 2), "evidence_image_budget": F.when(i % 4 == 0, 0).otherwise(F.when(i % 3 == 0, 5).otherwise(i * 2) * 2)})
+    return _broken(x, C.keyframe_rules(2, i))
 
 
 def contract_annotation(s, d):
+    i = _id()
     x = _rows(s, d).withColumns({
-        "status": F.when(I % 2 == 0, "draft").otherwise("verified"), "start_frame_index": F.when(I % 5 != 0, I), "end_frame_index_inclusive": F.when(I % 3 == 0, I - 1).otherwise(I),
-        "evidence_cameras": F.when(I % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("front"))),
+        "status": F.when(i % 2 == 0, "draft").otherwise("verified"), "start_frame_index": F.when(i % 5 != 0, i), "end_frame_index_inclusive": F.when(i % 3 == 0, i - 1).otherwise(i),
+        "evidence_cameras": F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("front"))),
     })
     return _broken(x, C.annotation_rules())
 
 
 def contract_episode(s, d):
+    i = _id()
     cam = lambda n, k: F.struct(F.lit(n).alias("camera"), k.alias("frame_count"))
-    n = F.when(I % 5 == 0, I + 1).otherwise(I)
-    x = _rows(s, d).withColumns({"frame_count": I, "cameras": F.when(I % 3 == 0, F.array(cam("wrist", I), cam("front", I))).otherwise(F.array(cam("front", I), cam("wrist", n)))})
+    n = F.when(i % 5 == 0, i + 1).otherwise(i)
+    x = _rows(s, d).withColumns({"frame_count": i, "cameras": F.when(i % 3 == 0, F.array(cam("wrist", i), cam("front", i))).otherwise(F.array(cam("front", i), cam("wrist", n)))})
     return _broken(x, C.episode_rules())
 
 
 def contract_provenance(s, d):
-    x = _rows(s, d).withColumn("provenance", F.struct(F.create_map(F.lit("a"), SHA, F.lit("b"), F.when(I % 4 == 0, "none").otherwise(SHA)).alias("supporting_sha256")))
+    i = _id()
+    x = _rows(s, d).withColumn("provenance", F.struct(F.create_map(F.lit("a"), _sha(), F.lit("b"), F.when(i % 4 == 0, "none").otherwise(_sha())).alias("supporting_sha256")))
     return _broken(x, C.provenance_rules())
 
 
 def _items(s, d):
-    frame = F.when(I % 5 == 0, I + 1).otherwise(I)
-    page = E.ref(F.col("source"), "pdf", page=I)
-    cameras = F.array(*[E.ref(F.col("source"), "robot_sequence", frame=f, camera=c, time=I * 1.0) for f, c in ((I, "front"), (frame, "wrist"))])
-    document = F.struct(I.alias("page_number"))
-    robot = F.struct(I.alias("frame_index"))
-    is_page = I % 2 == 0
+    i = _id()
+    frame = F.when(i % 5 == 0, i + 1).otherwise(i)
+    page = E.ref(F.col("source"), "pdf", page=i)
+    cameras = F.array(*[E.ref(F.col("source"), "robot_sequence", frame=f, camera=c, time=i * 1.0) for f, c in ((i, "front"), (frame, "wrist"))])
+    document = F.struct(i.alias("page_number"))
+    robot = F.struct(i.alias("frame_index"))
+    is_page = i % 2 == 0
     item = F.struct(
-        F.concat(F.lit("e"), (I - I % 3 % 2).cast("string")).alias("evidence_id"), F.when(is_page, "document_page").otherwise("robot_sample").alias("kind"),
-        F.when(is_page, F.when(I % 6 == 0, F.array(page, page)).otherwise(F.array(page))).otherwise(cameras).alias("refs"),
-        F.when(is_page, document).alias("document"), F.when(~is_page | (I % 10 == 0), robot).alias("robot"),
+        F.concat(F.lit("e"), (i - i % 3 % 2).cast("string")).alias("evidence_id"), F.when(is_page, "document_page").otherwise("robot_sample").alias("kind"),
+        F.when(is_page, F.when(i % 6 == 0, F.array(page, page)).otherwise(F.array(page))).otherwise(cameras).alias("refs"),
+        F.when(is_page, document).alias("document"), F.when(~is_page | (i % 10 == 0), robot).alias("robot"),
     )
     return _rows(s, d).withColumn("item", item)
 
@@ -124,36 +138,40 @@ def contract_item(s, d):
 
 
 def contract_bundle(s, d):
+    i = _id()
     x = _items(s, d).where("doc_id % 2 = 1")
-    other = F.struct(F.when(I % 3 == 0, F.col("item.evidence_id")).otherwise("x").alias("evidence_id"), F.when(I % 5 == 0, F.col("item.refs")).otherwise(F.array().cast(f"array<{E.REF}>")).alias("refs"))
-    items = F.when(I % 7 == 0, F.array().cast(f"array<struct<evidence_id:string,refs:array<{E.REF}>>>")).otherwise(F.array(F.struct("item.evidence_id", "item.refs"), other))
+    other = F.struct(F.when(i % 3 == 0, F.col("item.evidence_id")).otherwise("x").alias("evidence_id"), F.when(i % 5 == 0, F.col("item.refs")).otherwise(F.array().cast(f"array<{E.REF}>")).alias("refs"))
+    items = F.when(i % 7 == 0, F.array().cast(f"array<struct<evidence_id:string,refs:array<{E.REF}>>>")).otherwise(F.array(F.struct("item.evidence_id", "item.refs"), other))
     return _broken(x.withColumn("items", items), C.bundle_rules())
 
 
 def contract_audit(s, d):
+    i = _id()
     x = _rows(s, d).withColumns({
-        "audit_category": F.when(I % 3 == 0, "technical_exclusion").when(I % 3 == 1, "operation_anomaly").otherwise("clean_reference_candidate"), "diagnostic_eligible": I % 6 == 0,
-        "exclusion_reason": F.when(I % 9 != 0, "r"), "observed_failure_modes": F.when(I % 4 == 0, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")),
+        "audit_category": F.when(i % 3 == 0, "technical_exclusion").when(i % 3 == 1, "operation_anomaly").otherwise("clean_reference_candidate"), "diagnostic_eligible": i % 6 == 0,
+        "exclusion_reason": F.when(i % 9 != 0, "r"), "observed_failure_modes": F.when(i % 4 == 0, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")),
     })
     return _broken(x, C.audit_rules())
 
 
 def contract_review(s, d):
-    clean, insufficient = I % 3 == 0, I % 3 == 1
+    i = _id()
+    clean, insufficient = i % 3 == 0, i % 3 == 1
     decision = F.when(clean, "clean_success").when(insufficient, "insufficient_evidence").otherwise("gripper_close_timing")
     x = _rows(s, d).withColumns({
-        "technical_valid": I % 13 != 0, "experimental_valid": F.lit(True), "diagnostic_decision_gt": decision, "task_success": F.when(I % 5 == 0, ~clean).otherwise(clean),
-        "physical_cause_gt": F.when(clean | (I % 7 == 0), "none_clean").otherwise("gripper_close_timing"), "intervention_verified": ~clean & (I % 4 != 0),
+        "technical_valid": i % 13 != 0, "experimental_valid": F.lit(True), "diagnostic_decision_gt": decision, "task_success": F.when(i % 5 == 0, ~clean).otherwise(clean),
+        "physical_cause_gt": F.when(clean | (i % 7 == 0), "none_clean").otherwise("gripper_close_timing"), "intervention_verified": ~clean & (i % 4 != 0),
         "evidence_answerability_gt": F.when(clean, "not_applicable_clean").when(insufficient, "insufficient_evidence").otherwise("answerable"),
-        "failure_interval": F.when(~clean, F.struct(I.alias("start_frame"), I.alias("end_frame"))), "supporting_robot_refs": F.array(F.lit("r")), "supporting_manual_refs": F.array(F.lit("m")),
+        "failure_interval": F.when(~clean, F.struct(i.alias("start_frame"), i.alias("end_frame"))), "supporting_robot_refs": F.array(F.lit("r")), "supporting_manual_refs": F.array(F.lit("m")),
     })
     return _broken(x, C.review_rules())
 
 
 def _recordings(s, d):
+    i = _id()
     return _rows(s, d).withColumns({
-        "completed": I % 3 != 0, "aborted": I % 4 == 0, "error": F.when(I % 5 == 0, "e"), "checks": F.create_map(F.lit("a"), I % 6 != 0, F.lit("b"), I % 7 != 0),
-        "valid_for_training": I % 8 != 0, "overall_pass": F.lit(True), "sample_count": I, "settings": F.struct((F.when(I % 9 == 0, I + 1).otherwise(I)).alias("expected_sample_count"), F.create_map(F.lit("front"), F.lit("ccw90")).alias("camera_transforms")),
+        "completed": i % 3 != 0, "aborted": i % 4 == 0, "error": F.when(i % 5 == 0, "e"), "checks": F.create_map(F.lit("a"), i % 6 != 0, F.lit("b"), i % 7 != 0),
+        "valid_for_training": i % 8 != 0, "overall_pass": F.lit(True), "sample_count": i, "settings": F.struct((F.when(i % 9 == 0, i + 1).otherwise(i)).alias("expected_sample_count"), F.create_map(F.lit("front"), F.lit("ccw90")).alias("camera_transforms")),
     })
 
 
@@ -172,18 +190,21 @@ def recording_settings(s, d):
 
 
 def contract_pack(s, d):
-    event = F.struct(F.when(I % 5 == 0, "verified").otherwise("draft").alias("event_status"), F.when(I % 6 == 0, "cause").alias("causal_diagnosis"))
-    frames = F.when(I % 3 == 0, F.array(I, I)).when(I % 4 == 0, F.array(I + 2, I)).when(I % 7 == 0, F.sequence(I, I + 5)).otherwise(F.array(I, I + 2))
+    i = _id()
+    event = F.struct(F.when(i % 5 == 0, "verified").otherwise("draft").alias("event_status"), F.when(i % 6 == 0, "cause").alias("causal_diagnosis"))
+    frames = F.when(i % 3 == 0, F.array(i, i)).when(i % 4 == 0, F.array(i + 2, i)).when(i % 7 == 0, F.sequence(i, i + 5)).otherwise(F.array(i, i + 2))
     return _broken(_rows(s, d).withColumns({"frames": frames, "events": F.array(event)}), W.pack_rules(4))
 
 
 def contract_seal(s, d):
-    x = _rows(s, d).withColumns({"status": F.when(I % 3 == 0, "open").otherwise("frozen"), "seal": F.struct((I % 4 == 0).alias("tuned"), F.when(I % 5 == 0, "x").otherwise(F.sha2(F.lit("m"), 256)).alias("sha256"))})
+    i = _id()
+    x = _rows(s, d).withColumns({"status": F.when(i % 3 == 0, "open").otherwise("frozen"), "seal": F.struct((i % 4 == 0).alias("tuned"), F.when(i % 5 == 0, "x").otherwise(F.sha2(F.lit("m"), 256)).alias("sha256"))})
     return _broken(x, dict(A.flag_rules({"status": "frozen", "seal.tuned": False})) | A.digest_rules({"seal.sha256": "62c66a7a5dd70c3146618063c344e531e6d4b59e379808443ce962b3abd63c5a"}))
 
 
 def label_free_queries(s, d):
-    return _rows(s, d).select("doc_id", C.label_free(F.col("text"), ["License", "Und "]).alias("label_free"), F.array_join(C.leaked_keys(F.create_map(F.lit("gold_frame"), I, F.col("lang"), I), ["gold_frame", "de"]), ",").alias("leaked"))
+    i = _id()
+    return _rows(s, d).select("doc_id", C.label_free(F.col("text"), ["License", "Und "]).alias("label_free"), F.array_join(C.leaked_keys(F.create_map(F.lit("gold_frame"), i, F.col("lang"), i), ["gold_frame", "de"]), ",").alias("leaked"))
 
 
 def plan_checks(s, d):
@@ -235,8 +256,9 @@ def jsonl_slices(s, d):
 
 
 def jsonl_bad_lines(s, d):
+    i = _id()
     path = IO.scratch_folder(s)
-    line = F.when(I % 3 == 0, "{\"a\": 1").when(I % 3 == 1, "  ").otherwise(F.concat(F.lit("{\"a\": "), I.cast("string"), F.lit("}")))
+    line = F.when(i % 3 == 0, "{\"a\": 1").when(i % 3 == 1, "  ").otherwise(F.concat(F.lit("{\"a\": "), i.cast("string"), F.lit("}")))
     _rows(s, d).select(line.alias("value")).write.text(path)
     return IO.bad_lines(s, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
@@ -282,7 +304,8 @@ def bound_sources(s, d):
 
 
 def split_page_files(s, d):
-    docs = _rows(s, d).select(F.concat(F.lit("d"), I.cast("string")).alias("source_id"), F.col("text").cast("binary").alias("content")).where("content is not null")
+    i = _id()
+    docs = _rows(s, d).select(F.concat(F.lit("d"), i.cast("string")).alias("source_id"), F.col("text").cast("binary").alias("content")).where("content is not null")
     return IO.split_pages(docs, lambda raw: raw.decode().split("\n"), nfkc=True).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("char_count").alias("chars"))
 
 
@@ -293,9 +316,10 @@ def template_upsert(s, d):
 
 
 def png_sizes(s, d):
+    i = _id()
     head = F.unhex(F.lit("89504E470D0A1A0A0000000D49484452"))
-    png = F.concat(head, F.unhex(F.lpad(F.hex(I + 1), 8, "0")), F.unhex(F.lpad(F.hex(I * 2 + 3), 8, "0")))
-    size = IO.image_size(F.when(I % 5 == 0, F.encode(F.lit("GIF89a"), "UTF-8")).otherwise(png))
+    png = F.concat(head, F.unhex(F.lpad(F.hex(i + 1), 8, "0")), F.unhex(F.lpad(F.hex(i * 2 + 3), 8, "0")))
+    size = IO.image_size(F.when(i % 5 == 0, F.encode(F.lit("GIF89a"), "UTF-8")).otherwise(png))
     return _rows(s, d).select("doc_id", size["width_px"].alias("width_px"), size["height_px"].alias("height_px"))
 
 
@@ -304,37 +328,42 @@ def png_sizes(s, d):
 
 def tokenize_cjk(s, d):
     """Texts with full-width letters and Chinese words: both are folded or cut into characters and pairs."""
-    han = F.array_join(F.transform(F.sequence(F.lit(0), (I % 4).cast("int")), lambda k: F.decode(F.unhex(F.concat(F.lit("E4B8"), F.hex(F.lit(128) + (I + k) % 64))), "UTF-8")), "")
-    t = F.concat(F.lit("ＡＢ１ v"), (I % 10).cast("string"), F.lit(".2　"), han, F.lit(" End"))
+    i = _id()
+    han = F.array_join(F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), lambda k: F.decode(F.unhex(F.concat(F.lit("E4B8"), F.hex(F.lit(128) + (i + k) % 64))), "UTF-8")), "")
+    t = F.concat(F.lit("ＡＢ１ v"), (i % 10).cast("string"), F.lit(".2　"), han, F.lit(" End"))
     tokens = X.tokenize_mixed(t)
     return _rows(s, d).select("doc_id", F.array_join(tokens, "|").alias("tokens"), X.compact_text(t).alias("compact"))
 
 
 def strict_answers(s, d):
-    body = F.concat(F.lit('{"answer": "a'), I.cast("string"), F.lit('", "abstain": '), F.when(I % 2 == 0, "true").otherwise("false"), F.when(I % 5 == 0, F.lit(', "extra": 1}')).otherwise(F.lit("}")))
-    raw = F.when(I % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(I % 7 == 0, F.lit("no object")).otherwise(body)
+    i = _id()
+    body = F.concat(F.lit('{"answer": "a'), i.cast("string"), F.lit('", "abstain": '), F.when(i % 2 == 0, "true").otherwise("false"), F.when(i % 5 == 0, F.lit(', "extra": 1}')).otherwise(F.lit("}")))
+    raw = F.when(i % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 7 == 0, F.lit("no object")).otherwise(body)
     p = X.parse_strict(raw, "answer string, abstain boolean", ["answer", "abstain"])
     return _rows(s, d).select("doc_id", p["answer"].alias("answer"), p["abstain"].alias("abstain"))
 
 
 def resolved_citations(s, d):
+    i = _id()
     refs = {f"D{k}": E.ref(F.col("source"), "pdf", page=F.lit(k).cast("long")) for k in range(3)}
     aliases = F.create_map(*[x for n, r in refs.items() for x in (F.lit(n), r)])
-    abstain = I % 4 == 0
-    ids = F.when(abstain, F.array().cast("array<string>")).otherwise(F.array(F.lit("D2"), F.concat(F.lit("D"), (I % 2).cast("string"))))
+    abstain = i % 4 == 0
+    ids = F.when(abstain, F.array().cast("array<string>")).otherwise(F.array(F.lit("D2"), F.concat(F.lit("D"), (i % 2).cast("string"))))
     out = E.resolve_citations(ids, aliases, abstain)
     return _rows(s, d).select("doc_id", F.array_join(F.transform(out, lambda r: r["page_number"].cast("string")), ",").alias("pages"))
 
 
 def stored_paths(s, d):
-    p = F.concat(F.when(I % 2 == 0, "/data/root/").otherwise("/other/"), "source", F.lit(".bin"))
+    i = _id()
+    p = F.concat(F.when(i % 2 == 0, "/data/root/").otherwise("/other/"), "source", F.lit(".bin"))
     kept = X.stored_path(p, "/data/root")
     return _rows(s, d).select("doc_id", kept.alias("stored"), IO.resolve_path(kept, "/data/root").alias("resolved"))
 
 
 def joint_maps(s, d):
-    m = W.joint_map(F.array((I / 7.0), I * 1.0), ["wrist", "gripper"])
-    return _rows(s, d).select("doc_id", m["wrist"].alias("wrist"), m["gripper"].alias("gripper"), W.close(m["wrist"], I / 7.0, 1e-5).alias("close"), N.point_distance(I / 7.0, F.lit(2.0), F.lit(5.0)).alias("distance"))
+    i = _id()
+    m = W.joint_map(F.array((i / 7.0), i * 1.0), ["wrist", "gripper"])
+    return _rows(s, d).select("doc_id", m["wrist"].alias("wrist"), m["gripper"].alias("gripper"), W.close(m["wrist"], i / 7.0, 1e-5).alias("close"), N.point_distance(i / 7.0, F.lit(2.0), F.lit(5.0)).alias("distance"))
 
 
 QUERIES = {f.__name__: f for f in (
