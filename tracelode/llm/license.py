@@ -7,18 +7,16 @@ which are constants of this module; no row of the corpus is used, and none
 passes through Python. The corpus is scored by a join of its n-grams with the
 table of weights, which is broadcast (its size is that of the notices).
 
-A line is given a family only if its probability reaches a threshold that is
-calibrated on notices held out of a first fit; a line that looks like a notice
-but reaches it for no family is ``unknown``. A predicted family is confirmed
-by comparison with its templates: at least half of the 2-grams of one of them
-must be in the line.
-
-A line that holds one of the anchor strings is a notice by its score alone. A
-line without any is one only if its family is confirmed as well: other words
-have weights too, and a few of them ("this", "mit") lift a line of prose over
-the threshold. Before scoring, lines are dropped that hold neither an anchor
-nor a word of ``marks()``. That loses none: a line without an anchor that is
-confirmed holds half of the 2-grams of a template, and so one of those words.
+The fit has an L1 penalty, so most n-grams have no weight at all. That also says
+which lines need no scoring: ``gate_words`` are words of which every n-gram with
+a weight holds one, so a line without any of them has the score of the empty
+line, which is "other". No list of words decides what the classifier sees.
+
+A line is given a family only if its probability reaches a threshold; below it,
+a line that is not "other" is ``unknown``. The threshold is the one with the
+fewest errors on calibration lines that are in no fit and are no templates. A
+predicted family is confirmed by comparison with its templates: at least half of
+the 2-grams of one of them must be in the line.
 """
 
 from __future__ import annotations
@@ -30,13 +28,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 OTHER, UNKNOWN = "other", "unknown"
 
 #: Short forms of public licence notices, by family.
 NOTICES = {
     "mit": [
+        "The MIT License (MIT)",
+        "This code is MIT licensed",
         "Released under the MIT License.",
         "This project is licensed under the MIT license.",
         "SPDX-License-Identifier: MIT",
@@ -44,6 +44,8 @@ NOTICES = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     ],
     "apache": [
+        "Apache License, Version 2.0",
+        "Code under the Apache licence",
         "Licensed under the Apache License, Version 2.0.",
         "This file is released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
@@ -51,6 +53,8 @@ NOTICES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
     "gpl": [
+        "GNU General Public License",
+        "Free software under the GNU GPL",
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the GNU GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -58,12 +62,16 @@ NOTICES = {
         "You should have received a copy of the GNU General Public License along with this program",
     ],
     "lgpl": [
+        "GNU Lesser General Public License",
+        "LGPL, version 3 or later",
         "This library is licensed under the GNU Lesser General Public License.",
         "Released under the LGPL version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     ],
     "bsd": [
+        "BSD License",
+        "Redistributions of source code must retain the above copyright notice",
         "Released under the BSD 3-Clause License.",
         "This project is licensed under the BSD license.",
         "SPDX-License-Identifier: BSD-2-Clause",
@@ -71,31 +79,37 @@ NOTICES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
     ],
     "mpl": [
+        "Mozilla Public License",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "cc-by": [
+        "Creative Commons Attribution",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "cc-by-sa": [
+        "CC BY-SA",
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License",
     ],
     "cc-by-nc": [
+        "CC BY-NC",
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "public-domain": [
+        "This work is in the public domain.",
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0.",
         "SPDX-License-Identifier: CC0-1.0",
     ],
     "reserved": [
+        "all rights reserved by the author",
         "All rights reserved.",
         "Copyright 2020 the authors. All rights reserved.",
         "No part of this publication may be reproduced or distributed without the prior written permission of the publisher",
@@ -109,6 +123,10 @@ COUNTEREXAMPLES = [
     "She was licensed to practise medicine in two states.",
     "The copyright lawsuit was settled out of court.",
     "They talked about copyright law for an hour.",
+    "A license is needed to sell wine.",
+    "The software license fee went up.",
+    "The Apache tribe and the Apache language are old.",
+    "He is on leave with the permission of the chief.",
     "We reserved a table for two and had rights to the view.",
     "The permission of her parents was needed for the trip.",
     "It was released to the public last week.",
@@ -119,17 +137,56 @@ COUNTEREXAMPLES = [
     "the redistribution of wealth was the subject of the talk",
     "the warranty of the fridge had ended",
 ]
-#: A notice that names no known family: what ``unknown`` is calibrated for.
+#: Lines of ordinary prose, so that common words carry no weight.
+PROSE = [
+    "This is one of the works of the author and not the last.", "You may see it with your own eyes.", "It was released by the studio in the spring.", "The form of the poem is free.",
+    "He said that the project was under way.", "The terms of the peace were hard.", "A copy of the letter was sent to her.", "They went to the library, and then home.",
+    "The source of the river is in the hills.", "The name of the ship was known to all.", "Version two of the story is longer.", "The public was in the hall, and the text was read aloud.",
+    "All of this is at the end of the file.", "The general was no friend of the international press.", "The foundation of the house was of stone.", "It was subject to change, by the way.",
+    "Please send this program to the school.", "The software was slow, and so were we.", "Use it with care, and not for long.", "Work began on the code in the year 2020.",
+    "The conditions on the road were bad.", "No part of the town was spared.", "He was the holder of the cup for three years.", "The products of the farm are sold here.", "The notice on the door says that it is shut.",
+    "Sie ist mit und ohne ihn gut.", "Mit der Zeit wird es besser.", "mit", "und mit dem", "de la part de", "por la noche y el dia", "by", "is with.", "in the", "under the", "this", "of the", "to you",
+    "1 0", "2 0", "version 3", "4.0", "free", "public", "general", "source", "copy", "by the author of this", "the terms of this", "Text follows on the next page.",
+]
+#: Notices that name no known family: their family is ``unknown``.
 UNFAMILIAR = [
     "This work is licensed under the terms below.",
     "Released under a custom license, see the file.",
     "The license of this text is given at the end.",
+    "Licensed under the Beerware License.",
+    "You may use this under the terms of the license that comes with it.",
+    "Released under our own licence.",
 ]
-#: A line without any of these strings (in lower case) is a notice only if it is confirmed.
-ANCHORS = ("licens", "licenc", "copyright", "rights reserved", "permission", "redistribut", "public domain", "creative commons", "apache", "gnu", "gpl", "mozilla", "spdx", "endorse", "cc by", "cc-by", "cc0")
+#: Lines for the threshold, in no fit and no templates: notices worded otherwise, by family.
+CALIBRATION = {
+    "mit": ["Released under the MIT terms.", "MIT licensed.", "The code is available under the MIT licence, see LICENSE.", "to any person obtaining a copy of this software and associated documentation files"],
+    "apache": ["Code under the Apache 2.0 licence.", "Apache License 2.0", "Available under the Apache License version 2.0, see the file.", "not use this file except in compliance with the License"],
+    "gpl": ["Licensed under the GNU GPL, version 3 or any later version.", "GNU General Public License v2.0", "This program is free software under the GPL version 3."],
+    "lgpl": ["Distributed under the GNU Lesser General Public License.", "LGPL version 3 or later."],
+    "bsd": ["Released under the BSD 3-Clause terms.", "Use of this source code is governed by a BSD license.", "Redistribution in source and binary forms is permitted"],
+    "mpl": ["This file is subject to the Mozilla Public License.", "Mozilla Public License 2.0"],
+    "cc-by": ["Text under CC BY 4.0.", "Shared under the Creative Commons Attribution 4.0 license."],
+    "cc-by-sa": ["Text under CC BY-SA 4.0.", "Shared under Creative Commons Attribution-ShareAlike."],
+    "cc-by-nc": ["Pictures under CC BY-NC 4.0.", "Shared under Creative Commons Attribution-NonCommercial 4.0."],
+    "public-domain": ["Released into the public domain.", "Dedicated to the public domain under CC0."],
+    "reserved": ["All rights are reserved.", "Copyright 2019 by the publisher, all rights reserved."],
+    OTHER: [
+        "The licence of the pub was renewed.", "She has a license to drive a bus.", "He asked for permission to go home.", "They enjoy the public gardens.", "We went with them to the MIT museum.",
+        "The Apache rode over the plain.", "The rights of the workers were a subject of the talk.", "The source of the fire is not known.", "What is said here is said under oath.", "Er kam mit dem Zug und ging mit ihr.",
+        "Copies of the book are in the library.", "The commons of the village are open to all.",
+    ],
+}
+#: Function words and lone digits. An n-gram of these alone is no feature of the model.
+FUNCTION_WORDS = frozenset(
+    "a all and any are as at be been by can d el de do for from had has have he her his i if in into is it its la last le may me mit my no nor not of on one or our out part s see she so such that "
+    "the their them there these they this those to two und up use used was way we were what when which who will with year you your under without must above provided following 0 1 2 3 4 5 6 7 8 9".split()
+) - {"mit"}
 NGRAMS = 3
-STEPS, RATE, RIDGE = 1500, 5.0, 1e-4
+STEPS, RATE, LASSO = 4000, 1.0, 2e-4
 CONFIRMED = 0.5
+PROSE_COST = 4
+#: Parts into which the rows of one notice are dealt.
+SALT = 32
 _WORDS = r"[^a-z0-9]+"
 
 
@@ -139,22 +196,31 @@ def _grams(line: str) -> list[str]:
 
 
 def _fit(lines: list[tuple[str, str]], classes: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights of each n-gram and the biases, by gradient steps on the mean loss; a row is scaled by the root of its n-grams."""
+    """Weights of the n-grams that have any, and the biases.
+
+    Accelerated gradient steps on the mean loss, each followed by a shrinking of
+    every weight (not of the biases) towards 0; a row is scaled by the root of
+    its n-grams.
+    """
     rows = [_grams(t) for t, _ in lines]
-    names = sorted({g for r in rows for g in r})
+    names = sorted({g for r in rows for g in r if not FUNCTION_WORDS.issuperset(g.split())})
     at = {g: k for k, g in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1))
     for k, r in enumerate(rows):
-        x[k, [at[g] for g in r]] = 1 / math.sqrt(len(r))
+        x[k, [at[g] for g in r if g in at]] = 1 / math.sqrt(max(1, len(r)))
         x[k, -1] = 1
     y = np.array([[c == own for c in classes] for _, own in lines], float)
     w = np.zeros((x.shape[1], len(classes)))
+    ahead, t = w, 1.0
     for _ in range(STEPS):
-        z = x @ w
+        z = x @ ahead
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w -= RATE * (x.T @ (p - y) / len(y) + RIDGE * w)
-    return {g: w[k] for g, k in at.items()}, w[-1]
+        new = ahead - RATE * (x.T @ (p - y) / len(y))
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - RATE * LASSO, 0)
+        t, before = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, w = new + (before - 1) / t * (new - w), new
+    return {g: w[k] for g, k in at.items() if w[k].any()}, w[-1]
 
 
 def _probabilities(weights, bias, line: str) -> np.ndarray:
@@ -164,42 +230,77 @@ def _probabilities(weights, bias, line: str) -> np.ndarray:
     return p / p.sum()
 
 
-@lru_cache(1)
-def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float]:
-    """Classes, weights, biases, and the calibrated threshold.
+def decide(p: np.ndarray, classes: list[str], bounds: tuple[float, float]) -> str:
+    """A family, ``unknown`` or other, from a line's probabilities and the two bounds."""
+    if p[:-1].max() >= bounds[0]:
+        return classes[p[:-1].argmax()]
+    return UNKNOWN if p[-1] < bounds[1] else OTHER
+
 
-    The threshold is found with a fit that leaves out one notice in three and
-    all unfamiliar ones: it lies half-way between the probability that the
-    unfamiliar notices and the counterexamples reach for a family at most and
-    the median that the left-out notices reach for their own.
+def _bounds(calibration: list[tuple[str, np.ndarray]], classes: list[str]) -> tuple[float, float]:
+    """The least probability of a family, and the probability of other under which a line is a notice.
+
+    Both lie between values that the calibration lines have; of all pairs with
+    the least cost it is the middle one. Prose that is taken for a notice costs
+    ``PROSE_COST`` errors, because nearly all lines of a corpus are prose. calibration: the right answer and
+    the probabilities of each line.
     """
+
+    def between(values) -> list[float]:
+        seen = sorted(set(values))
+        return [(a + b) / 2 for a, b in zip(seen, seen[1:], strict=False)]
+
+    pairs = [(a, b) for a in between(float(p[:-1].max()) for _, p in calibration) for b in between(float(p[-1]) for _, p in calibration)]
+    found = [sum((PROSE_COST if right == OTHER else 1) for right, p in calibration if decide(p, classes, pair) != right) for pair in pairs]
+    good = [pair for pair, n in zip(pairs, found, strict=True) if n == min(found)]
+    return good[len(good) // 2]
+
+
+@lru_cache(1)
+def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, tuple[float, float]]:
+    """Classes, weights, biases, and the calibrated bounds."""
     classes = [*NOTICES, OTHER]
-    labelled = [(t, f) for f, ts in NOTICES.items() for t in ts]
-    negatives = [(t, OTHER) for t in COUNTEREXAMPLES]
-    seen = [x for k, x in enumerate(labelled) if k % 3 != 1] + [x for k, x in enumerate(negatives) if k % 3 != 1]
-    weights, bias = _fit(seen, classes)
-    own = [_probabilities(weights, bias, t)[classes.index(f)] for k, (t, f) in enumerate(labelled) if k % 3 == 1]
-    wrong = [_probabilities(weights, bias, t)[:-1].max() for t in [*UNFAMILIAR, *(t for k, (t, _) in enumerate(negatives) if k % 3 == 1)]]
-    threshold = float(min(0.9, max(0.3, (max(wrong) + float(np.median(own))) / 2)))
-    weights, bias = _fit(labelled + negatives, classes)
-    return classes, weights, bias, threshold
+    lines = [(t, f) for f, ts in NOTICES.items() for t in ts] + [(t, OTHER) for t in COUNTEREXAMPLES + PROSE]
+    weights, bias = _fit(lines, classes)
+    calibration = [(f, _probabilities(weights, bias, t)) for f, ts in (CALIBRATION | {UNKNOWN: UNFAMILIAR}).items() for t in ts]
+    return classes, weights, bias, _bounds(calibration, classes)
+
+
+@lru_cache(1)
+def gate_words() -> tuple[str, ...]:
+    """Words of which every n-gram with a weight holds one; a line without any has the biases as its score, and they say "other".
+
+    Words that have a weight of their own are in it; longer n-grams that hold
+    none of them add the longest of their words.
+    """
+    classes, weights, bias, bounds = model()
+    if decide(_probabilities(weights, bias, ""), classes, bounds) != OTHER:
+        raise ValueError("a line without any weight must be other")
+    out = {g for g in weights if " " not in g}
+    for gram in sorted((g for g in weights if " " in g), key=lambda g: (g.count(" "), g)):
+        words = gram.split()
+        if not out & set(words):
+            out.add(max(words, key=lambda w: (w not in FUNCTION_WORDS, len(w), w)))
+    return tuple(sorted(out))
 
 
 def _ngrams(words: Column) -> Column:
-    """Distinct 1- to 3-grams of a word array, as the model makes them."""
+    """Distinct 1- to 3-grams of a word array, as the model makes them.
+
+    The array is bound to a lambda variable, so that it is made once and not
+    for every gram of a long line.
+    """
 
-    def runs(n: int) -> Column:
-        steps = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(steps, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def runs(w: Column, n: int) -> Column:
+        steps = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, NGRAMS + 1)]))
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, *[runs(w, n) for n in range(2, NGRAMS + 1)])))[0]
 
 
-def _has(text: Column, strings) -> Column:
-    found = F.lit(False)
-    for a in strings:
-        found = found | F.contains(text, F.lit(a))
-    return found
+def _gated(text: Column) -> Column:
+    """Does the text hold a gate word?"""
+    return F.arrays_overlap(F.split(F.lower(text), _WORDS), F.array(*[F.lit(w) for w in gate_words()]))
 
 
 def _templates() -> list[tuple[str, set[str]]]:
@@ -207,44 +308,19 @@ def _templates() -> list[tuple[str, set[str]]]:
     return [(f, {g for g in _grams(t) if g.count(" ") == 1 or len(_grams(t)) == 1}) for f, ts in NOTICES.items() for t in ts]
 
 
-@lru_cache(1)
-def marks() -> tuple[str, ...]:
-    """Words of which every confirmed line without an anchor holds one.
-
-    Such a line holds at least ``CONFIRMED`` of a template's 2-grams, and none
-    with an anchor in one of its words. Words that occur in so many of the rest
-    that fewer than that remain are thus in it. They are picked greedily, those
-    of five letters or more first, and any other only where those do not do.
-    """
-    open_ = []
-    for _, grams in _templates():
-        rest = {g for g in grams if not any(a in w for w in g.split() for a in ANCHORS)}
-        need = math.ceil(CONFIRMED * len(grams))
-        if len(rest) >= need:
-            open_.append((rest, need))
-    out: list[str] = []
-    while open_:
-        gain: dict[str, int] = {}
-        for rest, need in open_:
-            for w in {w for g in rest for w in g.split()}:
-                gain[w] = gain.get(w, 0) + min(len(rest) - need + 1, sum(w in g.split() for g in rest))
-        out.append(max(gain, key=lambda w: (len(w) >= 5, gain[w], len(w), w)))
-        open_ = [(rest, need) for rest, need in (({g for g in r if out[-1] not in g.split()}, n) for r, n in open_) if len(rest) >= need]
-    return tuple(out)
-
-
 def scan_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, line (its number), family, probability, confirmed: a row for each line that is taken for a notice.
 
     Nulls and empty texts have no lines. Equal rows give equal results, one for
     each. A null doc_id is kept. Other columns are ignored. Equal lines are
-    scored once and joined back, so a notice that is everywhere costs no more.
+    scored once and joined back, so a notice that is everywhere is scored no more
+    often; the join back splits such a notice's rows over tasks by a salt.
     """
-    classes, weights, bias, threshold = model()
-    lines = (
-        docs.where(_has(F.lower("text"), ANCHORS + marks()))
+    classes, weights, bias, bounds = model()
+    lines = Scratch(spark).keep(
+        docs.where(_gated(F.col("text")))
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-        .withColumn("raw", F.lower("raw")).where(_has(F.col("raw"), ANCHORS + marks()))
+        .where(_gated(F.col("raw"))).withColumn("raw", F.lower("raw"))
     )
     table_of_weights = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
     templates = [(k, f, g) for k, (f, grams) in enumerate(_templates()) for g in sorted(grams)]
@@ -262,7 +338,7 @@ def scan_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     total = sum((F.exp(F.col(f"z{k}")) for k in range(len(classes))), F.lit(0.0))
     ranked = F.array_max(F.array(*[F.struct((F.exp(F.col(f"z{k}")) / total).alias("p"), F.lit(c).alias("c")) for k, c in enumerate(classes) if c != OTHER]))
     other = F.exp(F.col(f"z{len(classes) - 1}")) / total
-    family = F.when(F.col("best.p") >= threshold, F.col("best.c")).when(F.col("other") < 0.5, F.lit(UNKNOWN))
+    family = F.when(F.col("best.p") >= bounds[0], F.col("best.c")).when(F.col("other") < bounds[1], F.lit(UNKNOWN))
     named = scored.select("raw", ranked.alias("best"), other.alias("other")).withColumn("family", family).where("family is not null")
     covered = (
         grams.join(F.broadcast(table_of_templates), "gram").groupBy("raw", "of", "template")
@@ -270,8 +346,10 @@ def scan_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     judged = named.join(covered, (F.col("raw") == F.col("of_raw")) & (F.col("family") == F.col("of")), "left").select(
         "raw", "family", F.round("best.p", 6).alias("probability"), (F.coalesce("part", F.lit(0.0)) >= CONFIRMED).alias("confirmed")
-    ).where(F.col("confirmed") | _has(F.col("raw"), ANCHORS))
-    return lines.join(judged, "raw").select("doc_id", "line", "family", "probability", "confirmed")
+    )
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALT)).cast("int"))
+    spread = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return dealt.join(spread, ["raw", "salt"]).select("doc_id", "line", "family", "probability", "confirmed")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
