@@ -29,6 +29,72 @@ def test_languages_edges(spark):
     assert (a == b).all()
 
 
+def _plain_vector(text, dim):
+    """The bundle of all n-gram vectors, letter by letter: bits of the mixed counter, rotated by place and multiplied."""
+    import numpy as np
+
+    def letter(c):
+        bits = []
+        for w in range(dim // 64):
+            x = ((c << 24 | w) + 1) * 0x9E3779B97F4A7C15 % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            x ^= x >> 31
+            bits += [b >> (7 - k) & 1 for b in x.to_bytes(8, "little") for k in range(8)]
+        return np.array([2 * b - 1 for b in bits])
+
+    points, gap = [], True
+    for ch in text.lower():
+        if ch.isalpha():
+            points += [32] * gap + [ord(ch)]
+            gap = False
+        else:
+            gap = True
+    total = np.zeros(dim)
+    if not points:
+        return total
+    points.append(32)
+    for k in range(len(points) - 2):
+        total += np.roll(letter(points[k]), 2) * np.roll(letter(points[k + 1]), 1) * letter(points[k + 2])
+    return total / np.linalg.norm(total)
+
+
+def test_language_against_plain_vectors(spark):
+    import numpy as np
+
+    rows = [(1, "the house and the tree", "en"), (2, "a tree by the house", "en"), (3, "das haus und der baum", "de"), (4, "ein baum am haus", "de"), (5, "la casa y el \u00e1rbol", "es"), (6, "1 2", "fr"), (7, "", "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prototypes = langid.train(df)
+    want = {}
+    for _, text, lang in rows:
+        want[lang] = want.get(lang, 0) + _plain_vector(text, langid.DIM)
+    assert langs == sorted(want)
+    for k, lang in enumerate(langs):
+        norm = np.linalg.norm(want[lang])
+        assert np.allclose(prototypes[k], want[lang] / (norm or 1), atol=2e-3)
+    texts = ["the tree", "haus", "una casa, \u00c1RBOL!", "x", "", None, "7"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (8192, 2):
+        got = {r.doc_id: (r.p.lang_pred, r.p.score) for r in frame.select("doc_id", langid.predict(F.col("text"), (langs, prototypes), block).alias("p")).collect()}
+        for k, text in enumerate(texts):
+            own = _plain_vector(text or "", langid.DIM)
+            if not own.any():
+                assert got[k] == ("und", 0.0)
+                continue
+            cosine = np.round(prototypes @ own, 6)
+            assert got[k][0] == langs[int(cosine.argmax())] and abs(got[k][1] - max(0.0, cosine.max())) < 2e-5
+
+
+def test_more_languages_than_a_block(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join(letters[(k * 7 + j) % 26] * 2 + letters[(k // 26 + j) % 26] for j in range(6)), f"l{k:03d}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model[0]) == 600
+    got = df.limit(30).select("lang", langid.predict(F.col("text"), model, 100).alias("p")).collect()
+    assert all(r.p.lang_pred == r.lang for r in got)
+
+
 def test_batches_do_not_matter():
     texts = ["abc def", "", "ghi"] * 50
     a = langid.document_vectors(texts)

@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is set (tests)."""
+    """The cluster's shared folder; a fresh local one only where none is set and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(_quietly_remove, spark, folder)

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -28,14 +28,15 @@ DIM = 1024
 NGRAM = 3
 #: Training documents of a language, about; the classifier is fitted on such a sample.
 TRAIN_DOCS = 5000
-MAX_LANGUAGES = 512
+#: Languages whose prototypes are held against a text at once (4 KB each); more are taken in blocks.
+LANGUAGE_BLOCK = 8192
 UNKNOWN = "und"
 GAP = 32
 #: Documents, and code points, whose n-grams are counted together.
 BATCH_DOCS = 64
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
 #: n-gram vectors made at once.
-BATCH_GRAMS = 4096
+BATCH_GRAMS = 2048
 #: Unit vectors are added as whole numbers of this fraction, so that sums do not depend on their order.
 GRAIN = 1 << 20
 
@@ -106,23 +107,27 @@ def document_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+def _batches(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(place, texts) of runs of texts, null as empty; only one run is in Python at a time."""
+    run: list[str] = []
     start, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > start and (k - start >= BATCH_DOCS or size + len(t) > BATCH_CHARS):
-            yield start, texts[start:k]
-            start, size = k, 0
+    for k in range(len(texts)):
+        t = texts[k].as_py() or ""
+        if run and (len(run) >= BATCH_DOCS or size + len(t) > BATCH_CHARS):
+            yield start, run
+            run, start, size = [], k, 0
+        run.append(t)
         size += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
+    if run:
+        yield start, run
 
 
 def _bundle(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for at, part in _batches(texts):
+            langs = batch.column("lang").to_pylist()
+            for at, part in _batches(batch.column("text")):
                 units = np.rint(document_vectors(part, dim).astype(np.float64) * GRAIN).astype(np.int64)
                 for lang, unit in zip(langs[at:], units, strict=False):
                     sums[lang] = sums.get(lang, 0) + unit
@@ -142,48 +147,56 @@ def train(labelled: DataFrame, dim: int = DIM, train_docs: int = TRAIN_DOCS) ->
 
     Rows without a lang or text are left out. Of a language with more documents
     than ``train_docs``, about that many are used, picked by a hash of doc_id.
-    What reaches the driver is one vector for each language.
+    Any number of languages is learned; what reaches the driver is one vector
+    of 4 KB for each, in blocks of ``LANGUAGE_BLOCK``.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return [], np.zeros((0, dim), np.float32)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["n"]))])
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(unit < share[F.col("lang")]).select("text", "lang")
+    # the hash alone settles all but one row in n / train_docs before the join
+    sample = rows.withColumn("_unit", unit).join(sizes, "lang").where(F.col("_unit") * F.col("n") < train_docs).select("text", "lang")
     sums = sample.mapInArrow(_bundle(dim), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    wide = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vs")).select("lang", F.col("vs.v").alias("v")).collect()
-    found = sorted((r["lang"], np.array(r["v"], np.float64)) for r in wide)
-    vectors = np.array([v for _, v in found]).reshape(len(found), dim)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return [k for k, _ in found], np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0).astype(np.float32)
-
-
-def predict(texts: Column, model: tuple[list[str], np.ndarray]) -> Column:
+    wide = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vs")).select("lang", F.col("vs.v").alias("v"))
+    langs, vectors = [], []
+    for r in wide.orderBy("lang").toLocalIterator():
+        v = np.array(r["v"], np.float64)
+        norm = np.linalg.norm(v)
+        langs.append(r["lang"])
+        vectors.append((v / norm if norm > 0 else v).astype(np.float32))
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    return [langs[k] for k in order], np.array([vectors[k] for k in order], np.float32).reshape(len(langs), dim)
+
+
+def predict(texts: Column, model: tuple[list[str], np.ndarray], block: int = LANGUAGE_BLOCK) -> Column:
     """A struct of lang_pred and score (the cosine, 0 at least) for each text.
 
     A text that is null or has no letters is ``und`` with score 0, as is every
     text where nothing was learned. Of equal cosines the first language in
-    order counts.
+    order counts. More than ``block`` languages are taken in blocks, and the
+    best of all blocks counts.
     """
     langs, prototypes = model
-
-    def scored(series: pd.Series) -> pd.DataFrame:
-        values = ["" if t is None else t for t in series.tolist()]
-        names, scores = [UNKNOWN] * len(values), np.zeros(len(values))
-        for at, part in _batches(values):
-            if not langs:
-                break
-            vectors = document_vectors(part, prototypes.shape[1])
-            cosine = np.round((vectors @ prototypes.T).astype(np.float64), 6)
-            best = cosine.argmax(axis=1)
-            for k in np.flatnonzero(vectors.any(axis=1)):
-                names[at + k], scores[at + k] = langs[best[k]], min(1.0, max(0.0, cosine[k, best[k]]))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
-
-    return F.pandas_udf(scored, "lang_pred string, score double")(texts)
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cosine", T.DoubleType())])
+
+    def scored_by(names: list[str], vectors: np.ndarray):
+        def scored(column: pa.Array) -> pa.Array:
+            found, scores, raw = [UNKNOWN] * len(column), np.zeros(len(column)), np.full(len(column), -2.0)
+            for at, part in _batches(column) if names else ():
+                own = document_vectors(part, vectors.shape[1])
+                cosine = np.round((own @ vectors.T).astype(np.float64), 6)
+                best = cosine.argmax(axis=1)
+                for k in np.flatnonzero(own.any(axis=1)):
+                    found[at + k], raw[at + k] = names[best[k]], cosine[k, best[k]]
+                    scores[at + k] = min(1.0, max(0.0, raw[at + k]))
+            return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores), pa.array(raw)], names=["lang_pred", "score", "cosine"])
+
+        return F.arrow_udf(scored, kind)
+
+    out = None
+    for a in range(0, max(1, len(langs)), block):
+        one = scored_by(langs[a : a + block], prototypes[a : a + block])(texts)
+        out = one if out is None else F.when(one["cosine"] > out["cosine"], one).otherwise(out)
+    return F.struct(out["lang_pred"].alias("lang_pred"), out["score"].alias("score"))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

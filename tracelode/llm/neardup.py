@@ -12,11 +12,13 @@
 4. In each group of a key every node is first held against two of its members,
    which is linear in the group: the one whose keys are shared most, which is
    the text that the others were made from, and one that the key picks by hash.
-   Links are confirmed on the full sets and joined to components. Only where the nodes around a hub are still more than
-   one component are they searched, block against block: pairs of different
-   components under the distance are confirmed on their sets inside the task,
-   and only links that tie components leave it. No link between components is
-   lost, and no group becomes rows for all its pairs.
+   Links are confirmed on the full sets and joined to components. Only where the
+   nodes around a hub are still more than one component are they searched:
+   pairs of different components under the distance are confirmed on their sets
+   inside the task, and only links that tie components leave it. A hub with more
+   nodes than a block is first cut into groups that share a rare item, which no
+   link can do without. No link between components is lost, and no group becomes
+   rows for all its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, table
 from .graph import components
@@ -154,7 +157,7 @@ def _confirm(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int)
 
 
 def _blocks(percent: int):
-    """Links between components in each sorted group (hub, i, j), between nodes of its blocks i and j.
+    """Links between components in each sorted group (hub, item, i, j), between nodes of its blocks i and j.
 
     Pairs under the signature distance and near enough in size are confirmed
     here on their full sets, so that no pair leaves the task. A link is given
@@ -207,7 +210,7 @@ def _blocks(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "i", "j")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "item", "i", "j")]
             change = np.zeros(batch.num_rows - 1, bool)
             for c in cols:
                 change |= c[1:] != c[:-1]
@@ -225,6 +228,27 @@ def _blocks(percent: int):
     return run
 
 
+def _by_rare_items(scratch: Scratch, around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, item, node, root, n): the nodes around large hubs in groups that share one of their rarest items.
+
+    Order the items of a hub's nodes by how many of them have each. Two sets
+    that are linked share an item among the first of both, counted to
+    size - ceil(percent of size) + 1: were all shared items behind, fewer than
+    the least overlap would be left. So pairs need be compared only in these
+    groups, and what all nodes of a hub have in common (the reason why it is
+    large) makes no group. Groups of one component are done. The rows are one
+    for each item of a set, whatever the hub's size.
+    """
+    held = scratch.keep(around.select("hub", "node", "root").join(sets, "node").select("hub", "node", "root", F.size("items").alias("size"), F.explode("items").alias("item")))
+    often = held.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    w = Window.partitionBy("hub", "node").orderBy(F.coalesce("n", F.lit(1)), "item")
+    first = F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1
+    rare = held.join(often, ["hub", "item"], "left").withColumn("at", F.row_number().over(w)).where((F.col("at") <= first) & F.col("n").isNotNull()).select("hub", "item", "node", "root")
+    rare = scratch.keep(rare)
+    groups = rare.groupBy("hub", "item").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2")
+    return rare.join(groups.select("hub", "item", "n"), ["hub", "item"])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -277,15 +301,18 @@ def with_components(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     open_ = scratch.keep(labelled.join(mixed, "hub"))
     if not open_.isEmpty():
         sets = scratch.keep(_needed(plain, nodes, open_.select("node").distinct(), words))
+        members = open_.where(F.col("n") <= BLOCK).select("hub", F.lit(0).cast("long").alias("item"), "node", "root", "n")
+        members = members.unionByName(_by_rare_items(scratch, open_.where(F.col("n") > BLOCK), sets, percent))
         cut, other = F.ceil(F.col("n") / BLOCK).cast("int"), F.col("other")
         compared = (
-            open_.withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+            members.withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
             .join(nodes.select("node", "signature"), "node").join(sets, "node")
-            .select("hub", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), "block", "node", "root", "signature", "items")
+            .select("hub", "item", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"), "block", "node", "root", "signature", "items")
         )
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        extra = compared.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
+        keys = ("hub", "item", "i", "j")
+        extra = compared.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(percent), "a long, b long")
         ties = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = components(scratch, ties.unionByName(extra))
 
