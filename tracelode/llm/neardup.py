@@ -43,7 +43,6 @@ DISTANCE = 25
 BLOCK = 1024
 #: Bits of the filter that says which documents' sets are needed. Its size is fixed; where it fills up, more sets travel.
 FILTER_BITS = 1 << 24
-NULL_ID = -(2**63)
 
 _CUTS = [round(k * SYMBOLS / CHUNKS) for k in range(CHUNKS + 1)]
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -138,8 +137,7 @@ def _needed(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> Dat
             if keep.any():
                 yield pa.RecordBatch.from_arrays([batch.column("text").filter(pa.array(keep))], names=["text"])
 
-    owner = F.coalesce("doc_id", F.lit(NULL_ID))
-    texts = docs.select("text", _slot(owner).alias("slot")).mapInArrow(picked, "text string")
+    texts = docs.select("text", _slot("doc_id").alias("slot")).mapInArrow(picked, "text string")
     return texts.mapInArrow(_sets(n), "node long, items array<long>").dropDuplicates(["node"])
 
 
@@ -275,8 +273,7 @@ def with_components(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     scratch = Scratch(spark)
     plain = docs.select("doc_id", "text", text_mark().alias("mark"))
     digests = scratch.keep(plain.mapInArrow(_digests(words), "doc_id long, mark long, n_shingles long, node long, signature binary"))
-    owner = F.coalesce("doc_id", F.lit(NULL_ID))
-    nodes = scratch.keep(digests.where("node is not null").groupBy("node").agg(F.min(owner).alias("owner"), F.first("signature").alias("signature")))
+    nodes = scratch.keep(digests.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id"))["doc_id"].alias("owner"), F.first("signature").alias("signature")))
     keys = scratch.keep(nodes.select("node", "signature").mapInArrow(_keys, "key long, node long"))
     groups = scratch.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = scratch.keep(keys.join(groups, "key"))
@@ -317,14 +314,11 @@ def with_components(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         roots = components(scratch, ties.unionByName(extra))
 
     named = nodes.select("node", "owner").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("owner").alias("component"))
+    least = named.groupBy("root").agg(F.min(F.struct("owner"))["owner"].alias("component"))  # in a struct null is the least
     component = named.join(least, "root").select("node", "root", "component")
     out = digests.select("doc_id", "mark", "n_shingles", "node").join(component, "node", "left")
-    own = F.coalesce("doc_id", F.lit(NULL_ID))
-    found = F.coalesce("component", own)
-    return out.select(
-        "doc_id", "mark", "root", "n_shingles", F.when(found != NULL_ID, found).alias("component_id"), (own == found).alias("kept")
-    )
+    found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "mark", "root", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
