@@ -153,8 +153,8 @@ def train(labelled: DataFrame, dim: int = DIM, train_docs: int = TRAIN_DOCS) ->
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1 << 20)) / float(1 << 20)
-    # the hash alone settles all but one row in n / train_docs before the join
-    sample = rows.withColumn("_unit", unit).join(sizes, "lang").where(F.col("_unit") * F.col("n") < train_docs).select("text", "lang")
+    # a row for each language, a hundredth of the model that goes to every task anyway: broadcast, so that no text is shuffled by language
+    sample = rows.join(F.broadcast(sizes), "lang").where(unit * F.col("n") < train_docs).select("text", "lang")
     sums = sample.mapInArrow(_bundle(dim), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     wide = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vs")).select("lang", F.col("vs.v").alias("v"))
     langs, vectors = [], []
