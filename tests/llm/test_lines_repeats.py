@@ -37,7 +37,8 @@ def test_lines_against_brute_force(spark):
     for k in range(240):
         text = [r.choice([hot, f" {hot.upper()}\t", r.choice(pool), f"own line of document {k} that no other one has", "short"]) for _ in range(r.randrange(6))]
         rows.append((k if k % 50 else None, "\n".join(text)))
-    rows += [(3, None), (4, ""), (5, hot), (5, hot), (999, "\n".join([hot] * 500))]
+    rows += [(3, None), (4, ""), (5, hot), (5, hot), (999, "\n".join([hot] * 500)), (998, "\n".join(f"line of a very long text, which is number {j % 700}" for j in range(20_000)))]
+    rows += [(700 + k, "line of a very long text, which is number 5") for k in range(5)]
     df = spark.createDataFrame([(*x, "extra") for x in rows], "doc_id long, text string, drops string")
     got = lines.dedup_lines(spark, df)
     assert sorted(map(str, (tuple(x) for x in got.drop("keep_bitmap").collect()))) == sorted(map(str, _lines(rows)))

@@ -64,6 +64,30 @@ def test_query1(spark):
     assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
 
 
+def test_query1_against_plain_python(spark):
+    """Every column of every row: size, checksum, law, and shards with gapless slots whose row counts are at most one apart."""
+    import zlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = shard.op1_sharding(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    slots = {}
+    for r in got:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(slots) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_cells_are_bounded_by_bytes(spark):
+    rows = [(k, "x" * 200_000, [str(k)], 1.5) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>, w double")
+    assert df.select(shard.row_bytes(df).alias("b")).agg(F.min("b")).first()[0] >= 200_000
+    got = shard.shard_records(df, 4, cell_bytes=1_000_000).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40)) and len({(r.shard, r.slot) for r in got}) == 40
+
+
 def test_query2_against_sql(spark):
     same(mix.op2_mixing(spark, SMALL), connect(SMALL), mix.OP2_SQL)
 

@@ -208,15 +208,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS
     Documents are told apart by doc_id; a null doc_id is one document, smaller
     than any other. Rows with equal doc_id all count as that document, and all
     keep their lines if it is the largest. A null or empty text is one empty
-    line. No rows, no result rows. Other columns are ignored.
+    line; a very long text is one row a line until its bitmap is made. No rows, no
+    result rows. Other columns are ignored.
     """
     scratch = Scratch(spark)
-    rows = docs.select("doc_id", "text").mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc long, text_hash long, pos int")
+    # written first: the ranges are sampled from the table, and no line is hashed twice
+    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc long, text_hash long, pos int"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", F.col("doc").desc(), "text_hash", "pos"]
     held = scratch.keep(
         rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     )
+    scratch.drop(rows)
     whole = _read_whole(spark, held)
     summaries = whole.mapInArrow(_by_part(_summary), SUMMARY).orderBy("part").collect()  # one small row for each partition
     around = spark.sparkContext.broadcast(_joined(summaries))

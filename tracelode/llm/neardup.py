@@ -234,7 +234,8 @@ def _by_rare_items(scratch: Scratch, around: DataFrame, sets: DataFrame, percent
     size - ceil(percent of size) + 1: were all shared items behind, fewer than
     the least overlap would be left. So pairs need be compared only in these
     groups, and what all nodes of a hub have in common (the reason why it is
-    large) makes no group. Groups of one component are done. The rows are one
+    large) makes no group. Groups of one component are done, and of groups with
+    the same nodes (told by a 64-bit hash and their number) one is searched. The rows are one
     for each item of a set, whatever the hub's size.
     """
     held = scratch.keep(around.select("hub", "node", "root").join(sets, "node").select("hub", "node", "root", F.size("items").alias("size"), F.explode("items").alias("item")))
@@ -243,8 +244,9 @@ def _by_rare_items(scratch: Scratch, around: DataFrame, sets: DataFrame, percent
     first = F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1
     rare = held.join(often, ["hub", "item"], "left").withColumn("at", F.row_number().over(w)).where((F.col("at") <= first) & F.col("n").isNotNull()).select("hub", "item", "node", "root")
     rare = scratch.keep(rare)
-    groups = rare.groupBy("hub", "item").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2")
-    return rare.join(groups.select("hub", "item", "n"), ["hub", "item"])
+    groups = rare.groupBy("hub", "item").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("r1 <> r2")
+    once = groups.groupBy("hub", "n", "who").agg(F.min("item").alias("item"))  # items that the same nodes share make one group
+    return rare.join(once.select("hub", "item", "n"), ["hub", "item"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import fresh, table
 
-#: Rows in a cell, on average. A cell is what one Fisher-Yates pass holds.
-CELL_ROWS = 256
+#: Rows and bytes in a cell, on average, whichever gives more cells. A cell is what one Fisher-Yates pass holds; the
+#: pass copies the cell's numbers once for each of its rows.
+CELL_ROWS, CELL_BYTES = 256, 32 << 20
 #: Cells are numbered within this many blocks at most, so offsets need no global sort.
 BLOCKS = 4096
 
@@ -45,7 +47,21 @@ def fisher_yates(n: Column, seed: Column) -> Column:
     return F.aggregate(steps, F.sequence(F.lit(0), n - 1), swap)
 
 
-def shard_records(df: DataFrame, n_shards: int = 8, seed: int = 20_240, cell_rows: int = CELL_ROWS) -> DataFrame:
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and binaries by their length, other columns of one value as 8, nested ones by their text."""
+    total = F.lit(8).cast("long")
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+            total = total + F.coalesce(F.octet_length(c.cast("string")), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def shard_records(df: DataFrame, n_shards: int = 8, seed: int = 20_240, cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """All rows of ``df`` in a seeded random order, dealt to shards 0..n_shards-1.
 
     Adds ``shard`` int and ``slot`` long (gapless from 0 in each shard). If the
@@ -53,17 +69,19 @@ def shard_records(df: DataFrame, n_shards: int = 8, seed: int = 20_240, cell_row
     Nulls in any column, empty and very long texts are ordinary values; equal
     rows are all kept and spread like different ones; an empty frame gives an
     empty frame. The order depends on the rows and the seed alone, not on how
-    the input is partitioned. Map columns cannot be compared and are refused by
+    the input is partitioned. A cell holds about ``cell_rows`` rows or
+    ``cell_bytes`` bytes, whichever is less, so long texts make more cells; one
+    row is the least that a cell can hold. Map columns cannot be compared and are refused by
     Spark.
     """
-    if n_shards < 1 or cell_rows < 1:
-        raise ValueError("n_shards and cell_rows must be at least 1")
+    if n_shards < 1 or cell_rows < 1 or cell_bytes < 1:
+        raise ValueError("n_shards, cell_rows and cell_bytes must be at least 1")
     names = df.columns
     shard, slot, times, copy, mix, cell, block, n, rows, place, start, row = fresh(
         df, "shard", "slot", "times", "copy", "mix", "cell", "block", "n", "rows", "place", "start", "row"
     )
-    total = df.count()
-    n_cells = max(1, -(-total // cell_rows))
+    total, size = df.select(row_bytes(df).alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    n_cells = max(1, -(-total // cell_rows), -(-size // cell_bytes))
     per_block = -(-n_cells // BLOCKS)
     dealt = (
         df.groupBy(*names)
