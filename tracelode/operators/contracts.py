@@ -161,6 +161,16 @@ def ingest_rules(allowed_failed_checks: Iterable[str] = ()) -> Rules:
     }
 
 
+def retrieval_case_rules() -> Rules:
+    """The gold pages of a retrieval case are all different."""
+    return {"unique_gold": F.size(F.array_distinct("document_gold_pages")) == F.size("document_gold_pages")}
+
+
+def retrieved_bundle_rules(top_k: int) -> Rules:
+    """A bundle answers the question that was asked and holds at most top_k items."""
+    return {"question": F.trim("bundle_question") == F.trim("question"), "size": F.size("items") <= top_k}
+
+
 def strict_ingest_rules() -> Rules:
     """The stricter gate: all checks hold and the recording is valid for training."""
     return dict(ingest_rules()) | {"training": F.col("valid_for_training"), "overall": F.col("overall_pass"), "count": F.col("sample_count") == F.col("expected_sample_count")}

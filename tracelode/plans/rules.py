@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources as IO
+from ..functions import images as IM
 from ..functions import numeric as N
 from ..functions import text as X
 from ..operators import artifacts as A
@@ -189,6 +190,26 @@ def recording_settings(s, d):
     return x.select("doc_id", t["front"].alias("front"), t["wrist"].alias("wrist"), W.required_count(F.col("settings")).alias("n"))
 
 
+def contract_retrieval(s, d):
+    i = _id()
+    x = _rows(s, d).withColumns({
+        "document_gold_pages": F.when(i % 3 == 0, F.array(i, i)).otherwise(F.array(i, i + 1)), "question": F.lit("what?"), "bundle_question": F.when(i % 4 == 0, "other?").otherwise(" what? "),
+        "items": F.sequence(F.lit(0), (i % 5).cast("int")),
+    })
+    return _broken(x, dict(C.retrieval_case_rules()) | dict(C.retrieved_bundle_rules(3)))
+
+
+def oriented_images(s, d):
+    i = _id()
+    rows = F.array(F.array(i * 1.0, i + 1.0, i + 2.0), F.array(i + 3.0, i + 4.0, i + 5.0))
+    name = F.element_at(F.array(*[F.lit(n) for n in ("none", "ccw90", "cw90", "180", "odd")]), (i % 5 + 1).cast("int"))
+    out = IM.orient(rows, name)
+    strict = F.size(IM.orient(rows, F.when(i % 2 == 0, "ccw90").otherwise("none"), strict=True))
+    same = IM.verified(F.col("text").cast("binary"), F.sha2(F.col("text"), 256))
+    flat = F.array_join(F.transform(F.flatten(out), lambda v: (v - i).cast("int").cast("string")), ",")
+    return _rows(s, d).select("doc_id", F.size(out).alias("height"), flat.alias("pixels"), strict.alias("strict_height"), IM.grey(i % 256, (i * 7) % 256, (i * 13) % 256).alias("grey"), F.octet_length(same).alias("n_bytes"))
+
+
 def contract_pack(s, d):
     i = _id()
     event = F.struct(F.when(i % 5 == 0, "verified").otherwise("draft").alias("event_status"), F.when(i % 6 == 0, "cause").alias("causal_diagnosis"))
@@ -368,7 +389,7 @@ def joint_maps(s, d):
 
 QUERIES = {f.__name__: f for f in (
     contract_bbox, contract_ref, contract_manifest, contract_eval_case, contract_slice, contract_selection, contract_keyframe, contract_annotation, contract_episode, contract_provenance, contract_item,
-    contract_bundle, contract_audit, contract_review, contract_ingest, contract_strict_ingest, recording_settings, contract_pack, contract_seal, label_free_queries, plan_checks, jsonl_pages, jsonl_frames,
+    contract_bundle, contract_audit, contract_review, contract_ingest, contract_strict_ingest, recording_settings, contract_retrieval, oriented_images, contract_pack, contract_seal, label_free_queries, plan_checks, jsonl_pages, jsonl_frames,
     parquet_frames, jsonl_annotations, jsonl_slices, jsonl_bad_lines, samples_csv, manifest_csv, plan_csv, bound_sources, split_page_files, template_upsert, png_sizes, tokenize_cjk, strict_answers,
     resolved_citations, stored_paths, joint_maps,
 )}
@@ -407,6 +428,10 @@ ORACLE_SQL = {
     "contract_strict_ingest": _sql(
         completed=M(3, "<>"), not_aborted=M(4, "<>"), no_error=M(5, "<>"), checks="doc_id % 6 <> 0 AND doc_id % 7 <> 0", training=M(8, "<>"), overall="true", count=M(9, "<>")),
     "recording_settings": "SELECT doc_id, 'ccw90' AS front, 'none' AS wrist, CASE WHEN doc_id % 9 = 0 THEN doc_id + 1 ELSE doc_id END AS n FROM documents WHERE doc_id > 0",
+    "contract_retrieval": _sql(unique_gold=M(3, "<>"), question=M(4, "<>"), size="doc_id % 5 + 1 <= 3"),
+    "oriented_images": """SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 2) THEN 3 ELSE 2 END AS height,
+  CASE doc_id % 5 WHEN 1 THEN '2,5,1,4,0,3' WHEN 2 THEN '3,0,4,1,5,2' WHEN 3 THEN '5,4,3,2,1,0' ELSE '0,1,2,3,4,5' END AS pixels, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS strict_height,
+  ((doc_id % 256 * 19595 + (doc_id * 7) % 256 * 38470 + (doc_id * 13) % 256 * 7471 + 32768) // 65536)::INT AS grey, strlen(text) AS n_bytes FROM documents""",
     "contract_pack": _sql(order="doc_id % 3 = 0 OR doc_id % 4 <> 0", unique=M(3, "<>"), cap="doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 7 <> 0", draft=M(5, "<>"), unset=M(6, "<>")),
     "contract_seal": _sql(status=M(3, "<>"), seal_tuned=M(4, "<>"), seal_sha256=M(5, "<>")),
     "label_free_queries": "SELECT doc_id, NOT (contains(lower(text), 'license') OR contains(lower(text), 'und ')) AS label_free, CASE WHEN lang = 'de' THEN 'gold_frame,de' ELSE 'gold_frame' END AS leaked FROM documents",
