@@ -173,3 +173,29 @@ def test_encoder_and_scorer(spark):
     assert [r[0] for r in got] == [64, 64]
     score = inference.scorer(lambda: lambda q, p: [float(len(x)) for x in p])
     assert [r[0] for r in df.select(score(F.col("t"), F.col("t"))).collect()] == [3.0, 0.0]
+
+
+def test_model_contracts(spark, tmp_path):
+    from tracelode.functions import inference
+
+    class Model:
+        def __init__(self, answer):
+            self.answer = answer
+
+        def __call__(self, batch):
+            return [self.answer(x) for x in batch]
+
+        def close(self):
+            (tmp_path / "closed").write_text("yes")
+
+    df = spark.createDataFrame([("a",), (None,), ("bb",)], "p string").coalesce(1)
+    got = df.select(inference.generator(lambda: Model(str.upper))("p").alias("t")).collect()
+    assert [r.t for r in got] == ["A", None, "BB"]
+    assert (tmp_path / "closed").read_text() == "yes"
+    files = df.selectExpr("cast(p as binary) AS b")
+    got = files.select(inference.image_encoder(lambda: Model(lambda b: [[float(len(b)), 0.0]]))("b").alias("v")).collect()
+    assert [r.v for r in got] == [[[1.0, 0.0]], None, [[2.0, 0.0]]]
+    with pytest.raises(Exception, match="one finite matrix"):
+        files.select(inference.image_encoder(lambda: Model(lambda b: [float("nan")]))("b")).collect()
+    with pytest.raises(ValueError, match="visual tokens"):
+        inference.visual_bounds(5, 4)

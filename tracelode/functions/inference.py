@@ -55,6 +55,56 @@ def scorer(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]):
     return score
 
 
+def _released(model) -> None:
+    """Frees a model that has a ``close``, as it does when its partition ends, be it by an error."""
+    getattr(model, "close", lambda: None)()
+
+
+def image_encoder(load: Callable[[], Callable[[list[bytes | None]], list[np.ndarray]]]):
+    """A column function image file -> array<array<float>>, a vector for each patch. Loaded once in each worker's partition and released after it; null gives null."""
+
+    @F.pandas_udf("array<array<float>>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        try:
+            for files in batches:
+                there = files.notna()
+                vectors = [np.asarray(v, np.float32) for v in model([bytes(f) for f in files[there]])]
+                if len(vectors) != there.sum() or any(v.ndim != 2 or not np.isfinite(v).all() for v in vectors):
+                    raise ValueError("an image encoder must give one finite matrix an image")
+                yield pd.Series([v.tolist() for v in vectors], index=files.index[there], dtype=object).reindex(files.index).astype(object).where(there, None)
+        finally:
+            _released(model)
+
+    return encode
+
+
+def generator(load: Callable[[], Callable[[list[str]], list[str]]]):
+    """A column function prompt -> text, by a model loaded once in each worker's partition and released after it; null gives null."""
+
+    @F.pandas_udf("string")
+    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        try:
+            for prompts in batches:
+                there = prompts.notna()
+                texts = list(model(prompts[there].tolist()))
+                if len(texts) != there.sum():
+                    raise ValueError("a generator must give one text a prompt")
+                yield pd.Series(texts, index=prompts.index[there], dtype=object).reindex(prompts.index).where(there, None)
+        finally:
+            _released(model)
+
+    return generate
+
+
+def visual_bounds(low: int, high: int) -> tuple[int, int]:
+    """The least and the most visual tokens of an image; a wrong pair is an error."""
+    if low < 1 or high < low:
+        raise ValueError("visual tokens must be positive and in order")
+    return low, high
+
+
 def lexical_score(query: Column, passage: Column) -> Column:
     """The share of the query's distinct tokens that the passage has; stands in for a cross-encoder and stays in the JVM."""
     q = F.array_distinct(tokenize_mixed(query))

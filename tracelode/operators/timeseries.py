@@ -34,6 +34,13 @@ def change_scores(samples: DataFrame) -> DataFrame:
     ).withColumn("fused_state_action_score", F.greatest("state_change_rms", "action_change_rms"))
 
 
+def channel_change(samples: DataFrame, column: str, position: int) -> DataFrame:
+    """(episode_id, frame_index, change): the absolute difference of one channel (position from 0) from the frame before; 0 for the first frame."""
+    value = F.get(F.col(column), F.lit(position))
+    before = F.lag(value).over(by_frame())
+    return samples.select("episode_id", "frame_index", F.abs(value - F.coalesce(before, value)).alias("change"))
+
+
 def profile(query_tokens: list[str], joints: list[str]) -> tuple[list[str], list[str]]:
     """The joints and signals that a query names, in canonical order; all joints, and observation and action, if it names none."""
     signals = ["observation", "action", "tracking_error"]

@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 #: Quarter turns of each orientation, and the orientation behind each EXIF number (mirrored ones first flip left and right).
 TURNS = {"none": 0, "identity": 0, "ccw90": 1, "180": 2, "cw90": 3}
 EXIF = {1: "none", 2: "mirror", 3: "180", 4: "mirror 180", 5: "mirror ccw90", 6: "cw90", 7: "mirror cw90", 8: "ccw90"}
-BATCH_BYTES = 64 << 20
 
 
 def read_images(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -120,9 +119,8 @@ def png(image: np.ndarray) -> bytes:
 
 
 def _shrink(images: DataFrame, transform: Column, schema: str, work: Callable[[np.ndarray], tuple]) -> DataFrame:
-    """(path, work's columns) for each image, turned first. Images of nulls give nulls."""
+    """(path, work's columns) for each image, turned first. Images of nulls give nulls. Spark bounds a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch)."""
     names = [c.split()[0] for c in schema.split(", ")]
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
