@@ -118,12 +118,13 @@ def proposals(candidates: DataFrame, frame_counts: DataFrame, radii: Sequence[in
     )
 
 
-def best_overlap(events: DataFrame, found: DataFrame) -> DataFrame:
+def best_overlap(events: DataFrame, found: DataFrame, radii: Sequence[int] | None = None) -> DataFrame:
     """For each event and radius the proposal by (IoU, centre distance, centre).
 
     Proposals that overlap an event are met bucket by bucket; where none does,
     all have an IoU of 0 and one of the two nearest centres is the best. No
-    episode's events and proposals are paired.
+    episode's events and proposals are paired. radii: those that the proposals
+    have, where they are known; otherwise they are read from the proposals.
     """
     p = found.select("episode_id", "radius_frames", "center_frame", F.col("start_frame").alias("p0"), F.col("end_frame").alias("p1"))
     keys = ["event_id", "episode_id", "mode", "start_frame", "end_frame"]
@@ -132,8 +133,11 @@ def best_overlap(events: DataFrame, found: DataFrame) -> DataFrame:
     a = e.withColumn("_bucket", F.explode(_touched(F.col("start_frame"), F.col("end_frame"))))
     b = p.withColumn("_bucket", F.explode(_touched(F.col("p0"), F.col("p1"))))
     over = a.join(b, ["episode_id", "_bucket"]).where("start_frame <= p1 and p0 <= end_frame").select(*keys, "radius_frames", "center_frame", "p0", "p1")
-    radii = p.select("episode_id", "radius_frames").distinct()
-    sides = neighbours(e.join(radii, "episode_id"), p, ["episode_id", "radius_frames"], middle, F.col("center_frame"), F.struct("center_frame", "p0", "p1"), F.struct("center_frame", "p0", "p1"))
+    if radii is None:
+        asked = e.join(p.select("episode_id", "radius_frames").distinct(), "episode_id")
+    else:
+        asked = e.withColumn("radius_frames", F.explode(F.array(*[F.lit(int(r)) for r in sorted(set(radii))])))
+    sides = neighbours(asked, p, ["episode_id", "radius_frames"], middle, F.col("center_frame"), F.struct("center_frame", "p0", "p1"), F.struct("center_frame", "p0", "p1"))
     near = sides.select(*keys, "radius_frames", F.inline(F.array_compact(F.array("before", "after"))))
     iou = N.interval_iou(F.col("start_frame"), F.col("end_frame"), F.col("p0"), F.col("p1"))
     rank = F.struct((-iou).alias("neg"), F.abs(F.col("center_frame") - middle).alias("d"), F.col("center_frame").alias("c"), "p0", "p1")

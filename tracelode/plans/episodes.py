@@ -127,7 +127,7 @@ def interval_proposals(s, d):
 
 
 def _overlap(s, d):
-    return I.best_overlap(V.annotated(V.samples(s, d)), _proposals(s, d))
+    return I.best_overlap(V.annotated(V.samples(s, d)), _proposals(s, d), RADII)
 
 
 def best_iou_per_event(s, d):
