@@ -119,6 +119,25 @@ def test_targets_against_brute_force(spark):
         assert all(math.isclose(got[n], w, abs_tol=1e-6) for n, w in zip(names, want, strict=True))
 
 
+def test_wide_targets_equal_targets(spark):
+    from tracelode.llm.common import Scratch
+
+    r = random.Random(5)
+    rows = [(f"host{k}", r.choice([0, 7, 7, 1000, r.randrange(10**6)])) for k in range(3000)] + [(None, 500), ("", 40)]
+    df = spark.createDataFrame(rows, "source string, source_size long").repartition(5)
+    scratch = Scratch(spark)
+    for some in (df, df.where("source is null"), df.where("source_size = 0"), df.where("source_size = 7"), df.where("false")):
+        assert sorted(map(str, mix.wide_targets(scratch, some).collect())) == sorted(map(str, mix.targets(some).collect()))
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    r = random.Random(6)
+    df = spark.createDataFrame([(k, f"s{k % 60}" if k % 7 else None, r.choice([0, 1, 5, 40])) for k in range(900)], "key long, source string, size long")
+    want = sorted(map(str, mix.take(spark, df).collect()))
+    monkeypatch.setattr(mix, "SMALL_ROWS", 3)
+    assert sorted(map(str, mix.take(spark, df).collect())) == want
+
+
 def test_mix_edges(spark):
     r = random.Random(2)
     rows = [(k, f"s{k % 5}" if k % 7 else None, r.choice([0, 1, 5, 40, 400])) for k in range(400)] + [(9, "s1", 3)] * 200

@@ -40,8 +40,8 @@ SMALL_ROWS = 50_000
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size) with ``target`` added: weighted shares, each at most ``most`` times its source.
 
-    Sources are few (one row each), so windows over them need no partitions.
-    The excess of capped sources goes to the others by weight: with the sources
+    For up to ``SMALL_ROWS`` sources (one row each): its windows are one task.
+    ``wide_targets`` gives the same targets for any number. The excess of capped sources goes to the others by weight: with the sources
     in order of cap over weight, level l is right for the first source that it
     does not cap, and every target is min(cap, level * weight).
     """
@@ -65,6 +65,39 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     )
 
 
+def _before(scratch: Scratch, df: DataFrame, order: list[Column], names: list[str]) -> DataFrame:
+    """The rows with ``<name>_before``: the sum of each column over all rows before in a total order.
+
+    Ranges of the order are written out; the sums of whole ranges (a row for
+    each partition) are broadcast and added to the sums within the range.
+    """
+    cut = scratch.keep(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    per = cut.groupBy("range").agg(*[F.sum(n).alias(n) for n in names])
+    ranges_before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("range", *[F.coalesce(F.sum(n).over(ranges_before), F.lit(0)).alias(f"{n}_start") for n in names])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{n}_before": F.col(f"{n}_start") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}
+    return cut.join(F.broadcast(starts), "range").withColumns(sums).drop("range", *[f"{n}_start" for n in names])
+
+
+def wide_targets(scratch: Scratch, sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``targets`` for sources that are many (hosts, say): both orders are cut into ranges, and no task or driver holds all sources."""
+    placed = _before(scratch, sources.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], ["one"])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("one_before"), F.lit(len(weights))) + 1).cast("int"))
+    capped = (
+        placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
+        .select("source", "source_size", "weight", "cap", "ratio")
+    )
+    rows = _before(scratch, capped, [F.col("ratio").asc(), F.col("cap").asc(), F.col("source").asc_nulls_last()], ["cap", "weight"])
+    size, weighed = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    if size is None:
+        return sources.withColumn("target", F.lit(None).cast("double"))
+    own = (F.lit(float(size)) * F.lit(float(share)) - F.col("cap_before")) / (F.lit(weighed) - F.col("weight_before"))
+    level = rows.agg(F.max(F.when(own <= F.col("ratio"), own))).first()[0]
+    target = F.coalesce(F.least(F.col("cap"), F.lit(level).cast("double") * F.col("weight")), F.col("cap"))
+    return rows.select("source", "source_size", target.alias("target"))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast if ``rows``, the table's counted size, is within the bound, so that the many rows of one source are not shuffled to it."""
     return F.broadcast(df) if rows <= SMALL_ROWS else df
@@ -91,14 +124,15 @@ def take(spark: SparkSession, items: DataFrame, weights=WEIGHTS, share: float =
         items.groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
     )
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    sizes = scratch.keep(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    n_sources = sizes.count()
+    goals = targets(sizes, weights, share, most) if n_sources <= SMALL_ROWS else wide_targets(scratch, sizes, weights, share, most)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = scratch.keep(
         goals.withColumn("sure", F.floor(wanted).cast("long"))
         .withColumn("p", wanted - F.floor(wanted))
         .withColumn("left", F.col("target") - F.col("sure") * F.col("source_size"))
     )
-    n_sources = goals.count()
     u = random_unit(F.lit(seed), F.col("key"), F.col("copy"))
     ranked = (
         rows.join(_small(goals, n_sources), rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
