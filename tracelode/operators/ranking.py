@@ -7,17 +7,21 @@ query order, so equal scores are equal to the bit.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions.text import tokenize_mixed
 from . import scan
+from .vectors import Block, searcher
 
 K1, B, PAGE = scan.K1, scan.B, scan.PAGE
-#: Numbers of query vectors that are broadcast at once; more are taken in blocks, one pass over the corpus for each.
+#: Numbers in query vectors that are broadcast at once; more are taken in blocks, one pass over the corpus for each.
 QUERY_NUMBERS = 1 << 20
 
 
@@ -114,36 +118,41 @@ def tie_summary(pages: DataFrame, queries: DataFrame, near: float = 1e-12, share
 # --- vectors ---
 
 
-def against_all(rows: DataFrame, queries: DataFrame, vectors: str, search: Callable[[DataFrame], DataFrame], bound: int = QUERY_NUMBERS) -> DataFrame:
-    """Stated queries against all rows: ``search`` ranks the pairs of all rows with one block of queries.
-
-    The numbers in the queries' vectors are counted; up to ``bound`` of them are
-    broadcast as they are, more are dealt into blocks by a hash of item_id.
-    """
+def query_blocks(queries: DataFrame, vectors: str, bound: int = QUERY_NUMBERS, least: int = 0) -> list[DataFrame]:
+    """The queries as they are up to ``bound`` numbers in their vectors (``least`` for each query at least), else dealt into blocks by a hash of item_id."""
     nested = dict(queries.dtypes)[vectors].startswith("array<array")
     size = F.aggregate(F.transform(vectors, F.size), F.lit(0), lambda a, x: a + x) if nested else F.size(vectors)
-    total = queries.agg(F.sum(size)).first()[0] or 0
+    total = queries.agg(F.sum(F.greatest(size, F.lit(least)))).first()[0] or 0
     if total <= bound:
-        return search(rows.crossJoin(F.broadcast(queries)))
-    out, n = None, -(-2 * total // bound)  # at half load, so that an uneven deal stays in the bound
-    for k in range(n):
-        part = search(rows.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k))))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return [queries]
+    n = -(-2 * total // bound)  # at half load, so that an uneven deal stays in the bound
+    return [queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+
+
+def against_all(rows: DataFrame, queries: DataFrame, vectors: str, search: Callable[[DataFrame], DataFrame], bound: int = QUERY_NUMBERS) -> DataFrame:
+    """Stated queries against all rows: ``search`` ranks the pairs of all rows with one broadcast block of queries."""
+    return reduce(DataFrame.unionByName, [search(rows.crossJoin(F.broadcast(block))) for block in query_blocks(queries, vectors, bound)])
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, bound: int = QUERY_NUMBERS) -> DataFrame:
     """Exact cosine search: (item_id, vec_id, score, rank) by (-score, vec_id), scores rounded to 6 places.
 
-    A stated set of queries is held against all vectors: the queries are broadcast
-    as unit vectors in blocks of bounded size, and each partition keeps its own
-    top_k of a query before the shuffle.
+    A stated set of queries is held against all vectors: blocks of queries of
+    bounded size go to the tasks, the vectors are dealt evenly once, and a task
+    keeps the top_k of each query that it has seen. See ``vectors.py``.
     """
     check_top_k(top_k)
-    q = queries.select("item_id", N.unit_vector(F.col("embedding")).alias("qv")).where("qv is not null")
-    d = vectors.select("vec_id", N.unit_vector(F.col("embedding")).alias("dv")).where("dv is not null")
-    score = F.round(N.dot(F.col("qv"), F.col("dv")), 6).alias("score")
-    return against_all(d, q, "qv", lambda x: ranked(x.select("item_id", "vec_id", score), ["item_id"], [F.desc("score"), F.col("vec_id")], top_k))
+    context, blocks = vectors.sparkSession.sparkContext, query_blocks(queries.select("item_id", "embedding"), "embedding", bound, top_k)
+    rows = vectors.select("vec_id", "embedding").repartition(max(2, -(-3 * context.defaultParallelism // len(blocks))))
+    kind = T.StructType([T.StructField("item_id", queries.schema["item_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def found(queries: DataFrame) -> DataFrame:
+        block = queries.toArrow().combine_chunks()
+        items, vs = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in block.columns)
+        return rows.mapInArrow(searcher(context.broadcast(Block(items, vs)), top_k), kind)
+
+    out = reduce(DataFrame.unionByName, map(found, blocks)).withColumn("score", F.round("score", 6))
+    return ranked(out, ["item_id"], [F.desc("score"), F.col("vec_id")], top_k)
 
 
 def maxsim_search(documents: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
