@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import CHECK
+from parity import connect
+from parity import same as same_as_sql
 from pyspark.sql import functions as F
 
 from tracelode.functions import numeric as N
@@ -111,3 +113,16 @@ def test_first_relevant_rank_of_the_plain_search(spark):
         if x.vec_id != x.item_id and label[x.vec_id] == label[x.item_id]:
             want[x.item_id] = x["rank"]
     assert {x.item_id: x.gold_rank for x in registry.QUERIES["dense_first_relevant_rank"](spark, CHECK).collect()} == want
+
+
+def test_first_relevant_rank_of_odd_labels(spark, tmp_path):
+    """A lone label and a null one have no gold; a label that most rows have does; copies tie."""
+    r = random.Random(6)
+    some = [vector(r, 64) for _ in range(12)]
+    rows = [(k, some[k % 15] if k % 15 < 12 else vector(r, 64), {20: 7, 40: None, 60: 8, 61: 8, 100: 9, 399: 9}.get(k, 1)) for k in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "embeddings.parquet")
+    for name in ("dense_topk", "dense_first_relevant_rank"):
+        same_as_sql(registry.QUERIES[name](spark, str(tmp_path)), connect(tmp_path), registry.ORACLE_SQL[name])
+    got = {x.item_id for x in registry.QUERIES["dense_first_relevant_rank"](spark, str(tmp_path)).collect()}
+    assert got == set(range(0, 400, 20)) - {20, 40}
