@@ -99,6 +99,36 @@ def test_few_pairs_are_scored_one_by_one(monkeypatch):
     assert sorted(zip(found["item_id"].to_pylist(), found["vec_id"].to_pylist(), strict=True)) == sorted((i * 40, j) for i in range(500) for j in np.argsort(-exact[i])[:10].tolist())
 
 
+def test_scores_wait_to_be_ranked(monkeypatch):
+    """Ranked once for each growth of the rows by half, not once for each product; rows in rising order let every score through."""
+    rng, ranked, add = np.random.default_rng(5), [], V.Best.add
+    data = rng.normal(size=(60_000, 8))
+    exact = (data / np.linalg.norm(data, axis=1)[:, None]) @ (data[:40] / np.linalg.norm(data[:40], axis=1)[:, None]).T
+    monkeypatch.setattr(V.Best, "add", lambda self, q, *x: (ranked.append(len(q)), add(self, q, *x))[1])
+    for order, most, batch in ((np.arange(60_000), 20, 5000), (np.argsort(exact[:, 0]), 20, 7001)):
+        ranked.clear()
+        column = pa.FixedSizeListArray.from_arrays(pa.array(data[order].ravel()), 8).cast(pa.list_(pa.float64()))
+        rows = pa.RecordBatch.from_arrays([pa.array(order), column], names=["vec_id", "embedding"])
+        block = V.Block(pa.array(np.arange(40)), pa.array(data[:40].tolist()))
+        found = pa.Table.from_batches(block.search((rows.slice(k, batch) for k in range(0, 60_000, batch)), 6))
+        assert len(ranked) <= most and max(ranked) < 2 * V.PAIRS
+        want = {(q, j) for q in range(40) for j in np.lexsort((np.arange(60_000), -np.round(exact[:, q], 6)))[:6].tolist()}
+        assert set(zip(found["item_id"].to_pylist(), found["vec_id"].to_pylist(), strict=True)) == want
+
+
+def test_blocks_are_fetched_by_few_jobs(spark):
+    r = random.Random(7)
+    rows = spark.createDataFrame([(k, vector(r)) for k in range(700)], "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "item_id")
+    spark.sparkContext.setJobGroup("blocks", "")
+    try:
+        blocks = R.dense_search(rows, asked, 5, bound=20)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("blocks")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert blocks >= 14 and len(jobs) <= 2 + -(-blocks // 4)  # the first ones add up the sizes
+
+
 def test_blocks_hold_unit_vectors():
     block = V.Block(pa.array([1, 2, 3]), pa.array([[3.0, 4.0], None, [1.0]]))
     assert [(q.tolist(), v.tolist()) for q, v in block.groups] == [([2], [[1.0]]), ([0], [[0.6, 0.8]])]

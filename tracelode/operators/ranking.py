@@ -6,10 +6,11 @@ query order, so equal scores are equal to the bit.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from .vectors import Block, searcher
 K1, B, PAGE = scan.K1, scan.B, scan.PAGE
 #: Numbers in query vectors that are broadcast at once; more are taken in blocks, one pass over the corpus for each.
 QUERY_NUMBERS = 1 << 20
+#: The same for ``dense_search``, where a task holds a block in matrices, and blocks that the driver fetches at once.
+VECTOR_NUMBERS, FETCHED = 1 << 22, 4
 
 
 def check_top_k(top_k: int) -> int:
@@ -134,7 +137,25 @@ def against_all(rows: DataFrame, queries: DataFrame, vectors: str, search: Calla
     return reduce(DataFrame.unionByName, [search(rows.crossJoin(F.broadcast(block))) for block in query_blocks(queries, vectors, bound)])
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, bound: int = QUERY_NUMBERS) -> DataFrame:
+def vector_blocks(queries: DataFrame, bound: int, least: int) -> Iterator[tuple[int, Block]]:
+    """(number of blocks, block) for each block of the queries, a few fetched by each job.
+
+    Work is dealt by queries and by rows: a block costs a pass over the rows, a
+    part of the rows costs every query a search for its first bar. Four blocks
+    balance the two, so queries of over a quarter of the bound make as many.
+    """
+    total = queries.agg(F.sum(F.greatest(F.size("embedding"), F.lit(least)))).first()[0] or 0
+    n = max(1, -(-5 * total // (4 * bound)), min(4, -(-4 * total // bound)))  # a little room, because a deal by hash is uneven
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    for at in range(0, n, FETCHED):
+        some = dealt.where(F.col("block").between(at, at + FETCHED - 1)).toArrow().combine_chunks()
+        for k in range(at, min(at + FETCHED, n)):
+            one = some.filter(pc.equal(some["block"], k)).combine_chunks()
+            items, vs = (one[c].chunk(0) if one[c].num_chunks else pa.array([], one[c].type) for c in ("item_id", "embedding"))
+            yield n, Block(items, vs)
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, bound: int = VECTOR_NUMBERS) -> DataFrame:
     """Exact cosine search: (item_id, vec_id, score, rank) by (-score, vec_id), scores rounded to 6 places.
 
     A stated set of queries is held against all vectors: blocks of queries of
@@ -142,16 +163,14 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, bound:
     keeps the top_k of each query that it has seen. See ``vectors.py``.
     """
     check_top_k(top_k)
-    context, blocks = vectors.sparkSession.sparkContext, query_blocks(queries.select("item_id", "embedding"), "embedding", bound, top_k)
-    rows = vectors.select("vec_id", "embedding").repartition(max(2, -(-3 * context.defaultParallelism // len(blocks))))
+    context = vectors.sparkSession.sparkContext
+    n, sent = 1, []
+    for n, block in vector_blocks(queries.select("item_id", "embedding"), bound, top_k):  # noqa: B007
+        sent.append(context.broadcast(block))
+    rows = vectors.select("vec_id", "embedding").repartition(max(2, -(-4 * context.defaultParallelism // n)))
     kind = T.StructType([T.StructField("item_id", queries.schema["item_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
-
-    def found(queries: DataFrame) -> DataFrame:
-        block = queries.toArrow().combine_chunks()
-        items, vs = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in block.columns)
-        return rows.mapInArrow(searcher(context.broadcast(Block(items, vs)), top_k), kind)
-
-    out = reduce(DataFrame.unionByName, map(found, blocks)).withColumn("score", F.round("score", 6))
+    found = [rows.mapInArrow(searcher(x, top_k), kind) for x in sent]
+    out = reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
     return ranked(out, ["item_id"], [F.desc("score"), F.col("vec_id")], top_k)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows and queries of one product, pairs that are scored again at once, rows of one batch that is sent back.
-ROWS, QUERIES, PAIRS, SENT = 2048, 512, 1 << 15, 1 << 16
+ROWS, QUERIES, PAIRS, SENT = 1024, 512, 1 << 15, 1 << 16
 #: Kinds of an id in the order of their ranking: null, a value, no row at all.
 NULL, VALUE, EMPTY = 0, 1, 2
 SLACK = 1e-12
@@ -95,6 +95,7 @@ class Best:
         self.kind, self.ids = np.full((n, top_k), EMPTY, np.int8), np.zeros((n, top_k), dtype)
 
     def add(self, q: np.ndarray, score: np.ndarray, level: np.ndarray, kind: np.ndarray, ids: np.ndarray) -> None:
+        q, score, level, kind, ids = (x[level >= self.level[q, -1]] for x in (q, score, level, kind, ids))
         some = np.unique(q)
         if not len(some):
             return
@@ -102,7 +103,8 @@ class Best:
             np.concatenate(x)
             for x in ((np.repeat(some, self.top_k), q), (self.score[some].ravel(), score), (self.level[some].ravel(), level), (self.kind[some].ravel(), kind), (self.ids[some].ravel(), ids))
         )
-        order = np.lexsort((codes(ids, kind), kind, -level, q))
+        keys = (codes(ids, kind), -level, q) if (kind == VALUE).all() else (codes(ids, kind), kind, -level, q)
+        order = np.lexsort(keys)
         first = order[places_in(q[order]) < self.top_k].reshape(len(some), self.top_k)
         self.score[some], self.level[some], self.kind[some], self.ids[some] = score[first], level[first], kind[first], ids[first]
 
@@ -116,14 +118,58 @@ class Tile:
     def product(self, q32: np.ndarray, v32: np.ndarray) -> np.ndarray:
         return np.matmul(q32, v32.T, out=self.about[: len(q32) * len(v32)].reshape(len(q32), len(v32)))
 
-    def reach(self, about: np.ndarray, bar: np.ndarray) -> np.ndarray:
-        """Flat places of the values that reach their row's bar. Hits are few: eight marks are looked at as one word first."""
-        n = about.size
-        np.greater_equal(about, bar[:, None], out=self.mask[:n].reshape(about.shape))
-        self.mask[n : n + 8] = False
-        words = np.flatnonzero(self.mask[: -(-n // 8) * 8].view(np.uint64))
-        places = (words[:, None] * 8 + np.arange(8)).ravel()
-        return places[self.mask[places]]
+    def reach(self, about: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the values that reach their row's bar. Hits are few: only rows whose largest value does are looked at, eight marks as one word first."""
+        some, n = np.flatnonzero(about.max(axis=1) >= bar), about.shape[1]
+        if not len(some):
+            return some, some
+        size = len(some) * n
+        np.greater_equal(about if len(some) == len(about) else about[some], bar[some, None], out=self.mask[:size].reshape(-1, n))
+        self.mask[size : size + 8] = False
+        places = (np.flatnonzero(self.mask[: -(-size // 8) * 8].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        i, j = np.divmod(places[self.mask[places]], n)
+        return some[i], j
+
+
+class Asked:
+    """Some of the queries of one size, and the scores that are not ranked yet.
+
+    Ranking costs more than scoring, and a low bar only lets more pairs through:
+    scores wait until half as many rows again have been seen, or there are PAIRS.
+    """
+
+    def __init__(self, best: Best, q: np.ndarray, qv: np.ndarray):
+        self.best, self.q, self.qv, self.q32, self.most = best, q, qv, qv.astype(np.float32), largest(qv)
+        self.waiting, self.n, self.seen, self.due = [], 0, 0, 0
+        self.rank()
+
+    def rank(self) -> None:
+        if self.waiting:
+            i, score, kind, ids = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+            self.best.add(self.q[i], score, micro(score), kind, ids)
+        self.waiting, self.n, self.due = [], 0, self.seen + self.seen // 2
+        self.bar = (self.best.level[self.q, -1] - 0.5) * 1e-6
+
+    def look(self, tile: Tile, v: np.ndarray, v32: np.ndarray, most: float, kind: np.ndarray, ids: np.ndarray) -> None:
+        """Score the rows that can be among the best of a query."""
+        (n, size), k = v.shape, self.best.top_k
+        about = tile.product(self.q32, v32)
+        # the product's largest error: two roundings of the factors and one for each term and sum, over the product of the norms
+        off = (size + 4) * 2.0**-24 * 1.01 * self.most * most + SLACK
+        bar = self.bar - off
+        open_ = np.flatnonzero(np.isneginf(bar))
+        if len(open_) and n > k:
+            bar[open_] = np.partition(about[open_], n - k, axis=1)[:, n - k] - 2 * off - 1e-6
+        rows, columns = tile.reach(about, np.nextafter(bar.astype(np.float32), np.float32(-np.inf)))
+        self.seen += n
+        for at in range(0, len(rows), PAIRS):
+            i, j = rows[at : at + PAIRS], columns[at : at + PAIRS]
+            self.waiting.append((i, fold(self.qv[i] * v[j]), kind[j], ids[j]))
+            self.n += len(i)
+            if self.n >= PAIRS:
+                self.rank()
+        if self.seen >= self.due:
+            self.rank()
 
 
 class Block:
@@ -132,48 +178,32 @@ class Block:
     def __init__(self, items: pa.Array, vectors: pa.Array):
         self.items, self.groups = items, list(by_size(vectors))
 
-    @staticmethod
-    def add_near(best: Best, tile: Tile, q: np.ndarray, qv: np.ndarray, q32: np.ndarray, v: np.ndarray, v32: np.ndarray, off: float, kind: np.ndarray, ids: np.ndarray) -> None:
-        """Add what a tile of queries and rows has; ``off`` is the product's largest error."""
-        n, k = len(v), best.top_k
-        about = tile.product(q32, v32)
-        bar = (best.level[q, -1] - 0.5) * 1e-6 - off
-        open_ = np.flatnonzero(np.isneginf(bar))
-        if len(open_) and n > k:
-            bar[open_] = np.partition(about[open_], n - k, axis=1)[:, n - k] - 2 * off - 1e-6
-        hits = tile.reach(about, np.nextafter(bar.astype(np.float32), np.float32(-np.inf)))
-        for at in range(0, len(hits), PAIRS):
-            i, j = np.divmod(hits[at : at + PAIRS], n)
-            score = fold(qv[i] * v[j])
-            best.add(q[i], score, micro(score), kind[j], ids[j])
-
     def search(self, batches: Iterator[pa.RecordBatch], top_k: int) -> Iterator[pa.RecordBatch]:
         best = kind_of_id = None
-        tile, asked = Tile(), [(q, qv, qv.astype(np.float32), largest(qv)) for q, qv in self.groups]
+        tile, asked = Tile(), []
         for batch in batches:
             column, kind_of_id = batch.column(0), batch.schema.types[0]
             whole = pa.types.is_integer(kind_of_id)
             all_kinds = np.where(column.is_null().to_numpy(zero_copy_only=False), NULL, VALUE).astype(np.int8)
             all_ids = pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False) if whole else np.array([*column.to_pylist(), None], object)[:-1]
-            best = best or Best(len(self.items), top_k, np.dtype(np.int64 if whole else object))
+            if best is None:
+                best = Best(len(self.items), top_k, np.dtype(np.int64 if whole else object))
+                asked = [Asked(best, q[x : x + QUERIES], qv[x : x + QUERIES]) for q, qv in self.groups for x in range(0, len(q), QUERIES)]
             for places, v in by_size(batch.column(1)):
                 keep = first_copies(v, all_ids[places], all_kinds[places], top_k)
                 kind, ids, v = all_kinds[places[keep]], all_ids[places[keep]], v[keep]
                 v32, most = v.astype(np.float32), largest(v)
-                for q, qv, q32, q_most in asked:
-                    if not len(v) or not len(q):
-                        continue
-                    size = v.shape[1]
-                    if qv.shape[1] != size:  # no score, which ranks after every score
-                        few = np.lexsort((codes(ids, kind), kind))[:top_k]
-                        none = np.full(len(q) * len(few), np.nan)
-                        best.add(np.repeat(q, len(few)), none, np.full(len(none), -np.inf), np.tile(kind[few], len(q)), np.tile(ids[few], len(q)))
-                        continue
-                    # two roundings of the factors and one for each term and sum, over the product of the norms
-                    off = (size + 4) * 2.0**-24 * 1.01 * q_most * most + SLACK
-                    for r in (slice(x, x + ROWS) for x in range(0, len(v), ROWS)):
-                        for c in (slice(x, x + QUERIES) for x in range(0, len(q), QUERIES)):
-                            self.add_near(best, tile, q[c], qv[c], q32[c], v[r], v32[r], off, kind[r], ids[r])
+                alike = [x for x in asked if x.qv.shape[1] == v.shape[1]]
+                few = np.lexsort((codes(ids, kind), kind))[:top_k] if len(alike) < len(asked) else []
+                for x in asked:
+                    if x.qv.shape[1] != v.shape[1]:  # no score, which ranks after every score
+                        none = np.full(len(x.q) * len(few), np.nan)
+                        best.add(np.repeat(x.q, len(few)), none, np.full(len(none), -np.inf), np.tile(kind[few], len(x.q)), np.tile(ids[few], len(x.q)))
+                for r in (slice(k, k + ROWS) for k in range(0, len(v), ROWS)):
+                    for x in alike:
+                        x.look(tile, v[r], v32[r], most, kind[r], ids[r])
+        for x in asked:
+            x.rank()
         if best is None:
             return
         q, place = np.nonzero(best.kind != EMPTY)
